@@ -94,43 +94,61 @@ def lagged(df: DataFrame, keys: Sequence[str], ordinal: str, cols: Mapping[str,
                        after=max(-offset, 0), size=size)
 
 
-def running_total(df: DataFrame, keys: Sequence[str], ordinal: str,
-                  sums: Mapping[str, Column], size: int = BLOCK_ROWS) -> DataFrame:
-    """Running sums along ``ordinal`` (current row included)."""
+def running(df: DataFrame, keys: Sequence[str], ordinal: str,
+            sums: Mapping[str, Column] | None = None, maxima: Mapping[str, Column] | None = None,
+            fills: Mapping[str, Column] | None = None, before: bool = False,
+            size: int = BLOCK_ROWS) -> DataFrame:
+    """Running sums, running maxima and last non-null values along ``ordinal``.
+
+    The current row is included unless ``before`` is set. One block table, with
+    one row per (key, block), carries all of them over the block borders; give
+    a table that is cheap to read twice (stored, or staged).
+    """
     keys = list(keys)
     on = keys + ["_block"]
-    work = df.withColumns({f"_v_{n}": c for n, c in sums.items()}).withColumn(
+    kinds: dict[str, tuple[str, Column]] = {}
+    for kind, group in (("sum", sums), ("max", maxima), ("fill", fills)):
+        kinds.update({n: (kind, c) for n, c in (group or {}).items()})
+    work = df.withColumns({f"_v_{n}": c for n, (_, c) in kinds.items()}).withColumn(
         "_block", block_of(ordinal, size))
-    w = Window.partitionBy(*on).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0)
-    local = work.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(w) for n in sums})
-    totals = work.groupBy(*on).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    w = Window.partitionBy(*on).orderBy(ordinal).rowsBetween(
+        Window.unboundedPreceding, -1 if before else 0)
+
+    def over(kind: str, name: str, window) -> Column:
+        if kind == "fill":
+            return F.last(name, ignorenulls=True).over(window)
+        return (F.sum(name) if kind == "sum" else F.max(name)).over(window)
+
+    def total(kind: str, name: str) -> Column:
+        if kind == "fill":
+            return F.max_by(name, F.when(F.col(name).isNotNull(), F.col(ordinal)))
+        return F.sum(name) if kind == "sum" else F.max(name)
+
+    local = work.withColumns({f"_l_{n}": over(k, f"_v_{n}", w) for n, (k, _) in kinds.items()})
+    totals = work.groupBy(*on).agg(*[total(k, f"_v_{n}").alias(f"_t_{n}") for n, (k, _) in kinds.items()])
     carried = totals.select(*on, *[
-        F.sum(f"_t_{n}").over(_before(keys, "_block")).alias(f"_c_{n}") for n in sums])
-    joined = local.join(carried, on)
-    return joined.withColumns({
-        n: F.coalesce(F.col(f"_c_{n}") + F.col(f"_l_{n}"), F.col(f"_l_{n}"), F.col(f"_c_{n}"))
-        for n in sums
-    }).drop("_block", *[f"_{p}_{n}" for n in sums for p in "vlc"])
+        over(k, f"_t_{n}", _before(keys, "_block")).alias(f"_c_{n}") for n, (k, _) in kinds.items()])
+    out = {}
+    for n, (k, _) in kinds.items():
+        here, came = F.col(f"_l_{n}"), F.col(f"_c_{n}")
+        if k == "sum":
+            out[n] = F.coalesce(came + here, here, came)
+        else:
+            out[n] = F.coalesce(here, came)
+    return local.join(carried, on).withColumns(out).drop(
+        "_block", *[f"_{p}_{n}" for n in kinds for p in "vlc"])
+
+
+def running_total(df: DataFrame, keys: Sequence[str], ordinal: str,
+                  sums: Mapping[str, Column], size: int = BLOCK_ROWS) -> DataFrame:
+    """Running sums along ``ordinal`` (current row included)."""
+    return running(df, keys, ordinal, sums=sums, size=size)
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], ordinal: str,
                  fills: Mapping[str, Column], size: int = BLOCK_ROWS) -> DataFrame:
     """Last non-null value up to and including the current row."""
-    keys = list(keys)
-    on = keys + ["_block"]
-    work = df.withColumns({f"_v_{n}": c for n, c in fills.items()}).withColumn(
-        "_block", block_of(ordinal, size))
-    w = Window.partitionBy(*on).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0)
-    local = work.withColumns({f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(w) for n in fills})
-    tails = work.groupBy(*on).agg(*[
-        F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(ordinal))).alias(f"_t_{n}")
-        for n in fills])
-    carried = tails.select(*on, *[
-        F.last(f"_t_{n}", ignorenulls=True).over(_before(keys, "_block")).alias(f"_c_{n}")
-        for n in fills])
-    return local.join(carried, on).withColumns({
-        n: F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n in fills
-    }).drop("_block", *[f"_{p}_{n}" for n in fills for p in "vlc"])
+    return running(df, keys, ordinal, fills=fills, size=size)
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str | Column) -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltloom.operators.ordered import forward_fill, lagged, running_total, with_ordinal
+from voltloom.operators.ordered import near_window, running, running_total
 from voltloom.session import staged
 
 REST_BELOW_A = 0.5
@@ -72,7 +72,7 @@ class Log:
 
 
 def partial_runs(log: Log) -> DataFrame:
-    """One row per run of equal labels inside a chunk, numbered per cell."""
+    """One row per run of equal labels inside a chunk."""
     s = log.labelled()
     at = F.struct("test_time_s", "seq")
     i = F.col("current_a")
@@ -94,9 +94,17 @@ def partial_runs(log: Log) -> DataFrame:
     if "soc" in s.columns:
         has = F.when(F.col("soc").isNotNull(), at)
         aggs += [F.min_by("soc", has).alias("soc0"), F.max_by("soc", has).alias("soc1")]
-    runs = s.groupBy("cell_id", "_chunk", "_run").agg(*aggs)
-    return with_ordinal(runs.withColumnRenamed("_chunk", "chunk").withColumnRenamed("_run", "run"),
-                        CELL, ["run"], F.col("chunk"), "run_no")
+    return s.groupBy(F.col("cell_id"), F.col("_chunk").alias("chunk"), F.col("_run").alias("run")).agg(*aggs)
+
+
+def numbered_runs(runs: DataFrame) -> DataFrame:
+    """``run_no`` counts the runs of a cell over all its chunks."""
+    starts = runs.groupBy("cell_id", "chunk").agg(F.max("run").alias("_n")).select(
+        "cell_id", "chunk", F.coalesce(F.sum("_n").over(
+            Window.partitionBy("cell_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0)).alias("_start"))
+    return runs.join(starts, ["cell_id", "chunk"]).withColumn(
+        "run_no", F.col("_start") + F.col("run")).drop("_start")
 
 
 @dataclass(frozen=True)
@@ -121,35 +129,50 @@ def _bridge(now: Column, before: Column, signed: bool) -> Column:
     return F.coalesce(mean * dt, F.lit(0.0))
 
 
+def _kept_label(min_samples: int) -> Column:
+    """The label of a run that is long enough, counting its parts across chunk borders.
+
+    Every part has a sample, so ``min_samples - 1`` neighbours on each side
+    decide. The first run of a cell is kept at any length.
+    """
+    label, reach = F.col("label"), min_samples - 1
+    length, first = F.col("n"), F.col("run_no") == 1
+    for side in ("b", "a"):
+        joined = F.lit(True)
+        for k in range(1, reach + 1):
+            near = F.col(f"_{side}{k}")
+            joined = joined & F.coalesce(near["label"] == label, F.lit(False))
+            length = length + F.when(joined, near["n"]).otherwise(F.lit(0))
+            if side == "b":
+                first = first | (joined & (F.col("run_no") == k + 1))
+    return F.when((length >= min_samples) | first, label)
+
+
 def segment(log: Log) -> Phases:
     """Runs shorter than ``min_samples`` take the label before them, then equal labels merge."""
-    runs = staged(partial_runs(log))
-    turned = lagged(runs, CELL, "run_no", {"_before": "label"}).withColumn(
-        "_new", F.when(F.col("_before").eqNullSafe(F.col("label")), 0).otherwise(1))
-    whole = running_total(turned, CELL, "run_no", {"whole_no": F.col("_new")}).drop("_before", "_new")
-    joined = whole.groupBy("cell_id", "whole_no").agg(
-        F.first("label").alias("label"), F.sum("n").alias("n"))
-    kept = F.when((F.col("n") >= log.min_samples) | (F.col("whole_no") == 1), F.col("label"))
-    smooth = forward_fill(joined, CELL, "whole_no", {"kind": kept})
-    turns = lagged(smooth, CELL, "whole_no", {"_before": "kind"}).withColumn(
-        "_new", F.when(F.col("_before").eqNullSafe(F.col("kind")), 0).otherwise(1))
-    phased = running_total(turns, CELL, "whole_no", {"phase_no": F.col("_new")}).select(
-        "cell_id", "whole_no", "phase_no", "kind")
-    runs2 = whole.join(phased, ["cell_id", "whole_no"])
-    # What crosses a border between two runs of one phase.
-    carry = {"_pp": F.col("phase_no"), "_pf": F.col("fin1")}
-    if "raw1" in runs.columns:
-        carry["_raw_before"] = F.col("raw1")
-    # A run without a finite current is looked through to the one before it.
-    filled = forward_fill(runs2, CELL, "run_no", {
-        "_fin": F.when(F.col("fin1").isNotNull(), F.struct("phase_no", "fin1"))})
-    prior = lagged(filled, CELL, "run_no", {
-        "_pf": "_fin", **({"raw_before": "raw1"} if "raw1" in runs.columns else {})})
-    same = F.col("_pf.phase_no") == F.col("phase_no")
-    linked = prior.withColumns({
-        "gap_ah": F.when(same, _bridge(F.col("fin0"), F.col("_pf.fin1"), False)).otherwise(0.0),
-        "gap_q": F.when(same, _bridge(F.col("fin0"), F.col("_pf.fin1"), True)).otherwise(0.0),
-    }).drop("_pf", "_fin", "fin0", "fin1")
+    runs = numbered_runs(staged(partial_runs(log)))
+    volts = "raw1" in runs.columns
+    reach = log.min_samples - 1
+    near = F.struct("label", "n")
+    around = {f"_b{k}": (F.lag(near, k), None, None) for k in range(1, reach + 1)}
+    around.update({f"_a{k}": (F.lead(near, k), None, None) for k in range(1, reach + 1)})
+    if volts:
+        around["raw_before"] = (F.lag("raw1", 1), None, None)
+    depth = max(reach, 1)
+    close = near_window(runs, CELL, "run_no", around, before=depth, after=depth).withColumn(
+        "_kept", _kept_label(log.min_samples)).drop(*[c for c in around if c != "raw_before"])
+    past = staged(running(close, CELL, "run_no", before=True, fills={
+        "_kept_before": F.col("_kept"),
+        "_fin": F.when(F.col("fin1").isNotNull(), F.struct("run_no", "fin1"))}))
+    turn = F.col("_kept").isNotNull() & ~F.col("_kept").eqNullSafe(F.col("_kept_before"))
+    placed = running(past, CELL, "run_no", sums={"phase_no": turn.cast("int")},
+                     maxima={"_phase_start": F.when(turn, F.col("run_no"))})
+    same = F.col("_fin.run_no") >= F.col("_phase_start")
+    linked = placed.withColumns({
+        "kind": F.coalesce("_kept", "_kept_before"),
+        "gap_ah": F.when(same, _bridge(F.col("fin0"), F.col("_fin.fin1"), False)).otherwise(0.0),
+        "gap_q": F.when(same, _bridge(F.col("fin0"), F.col("_fin.fin1"), True)).otherwise(0.0),
+    }).drop("_kept", "_kept_before", "_fin", "_phase_start", "fin0", "fin1")
     linked = staged(linked)
     return Phases(log, linked, phase_table(linked))
 
@@ -227,7 +250,6 @@ def with_phase(phases: Phases, kind: str | None = None) -> DataFrame:
     chunk partitioning of the labelling.
     """
     runs = phases.runs
-    own = Window.partitionBy("cell_id", "phase_no").orderBy("run_no")
     if kind is not None:
         runs = runs.where(F.col("kind") == kind)
     return _with_offsets(phases.log, runs)
