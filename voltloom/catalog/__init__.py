@@ -1,6 +1,6 @@
 """All registered queries and their SQL twins."""
 
-from voltloom.catalog import fleet, sequence  # noqa: F401
+from voltloom.catalog import evaluation, fleet, life, sequence  # noqa: F401
 from voltloom.catalog.base import CATALOG
 
 __all__ = ["CATALOG"]

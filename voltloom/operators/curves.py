@@ -79,7 +79,7 @@ def screen_steps(steps: DataFrame) -> DataFrame:
         "r_ok_ohm", F.when(F.coalesce(low, F.lit(False)), None).otherwise(F.col("r_step_ohm"))).drop("acc")
 
 
-def trailing_resistance(screened: DataFrame, size: int = 65_536) -> DataFrame:
+def trailing_resistance(screened: DataFrame, size: int | None = 65_536) -> DataFrame:
     """Median of the last 11 screened steps, carried forward; the ohmic drop with it."""
     numbered = running_total(screened, CELL, "cycle", {"step_no": F.lit(1)}, size)
     rolled = near_window(numbered, CELL, "step_no", {
@@ -93,7 +93,7 @@ def trailing_resistance(screened: DataFrame, size: int = 65_536) -> DataFrame:
 def discharge_steps(phases: Phases) -> DataFrame:
     """(cell, cycle, phase) with step, screened and trailing resistance; staged, compact."""
     steps = staged(step_resistance(phases.discharges, phases.log.rest_below_a))
-    return staged(trailing_resistance(screen_steps(steps)))
+    return staged(trailing_resistance(screen_steps(steps), phases.size))
 
 
 def bracket(v: Column, q: Column, at: Column, x: Column, name: str) -> list[Column]:

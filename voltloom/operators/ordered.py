@@ -4,7 +4,8 @@ A fleet table is skewed: one battery can hold a third of all samples. A plain
 ``Window.partitionBy(cell).orderBy(t)`` sends that battery to one task. The
 helpers here cut every series into chunks, work inside (key, chunk), and carry
 what crosses a border through a table with one row per chunk. Results are the
-same as those of the plain window.
+same as those of the plain window, which is used only where a count of the
+rows per key has shown that every key is small (``block_size``).
 """
 
 from __future__ import annotations
@@ -16,6 +17,22 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 65_536
 VALUE_BUCKETS = 1024
+# A key with at most this many rows may be handled inside one task.
+SMALL_GROUP_ROWS = 500_000
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest key: one partial count per key, reduced to one number."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 0
+
+
+def block_size(df: DataFrame, keys: Sequence[str], limit: int = SMALL_GROUP_ROWS) -> int | None:
+    """None where every key is small enough for a plain window, else the block length.
+
+    Runs a count; give a stored or staged table.
+    """
+    return None if largest_group(df, keys) <= limit else BLOCK_ROWS
 
 
 def _before(keys: Sequence[str], order: str):
@@ -23,12 +40,16 @@ def _before(keys: Sequence[str], order: str):
 
 
 def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                 chunk: Column, out: str = "ordinal") -> DataFrame:
+                 chunk: Column | None, out: str = "ordinal") -> DataFrame:
     """Exact 1..n numbering per key.
 
-    ``chunk`` must not decrease along ``order`` (a time range, a value range).
+    ``chunk`` must not decrease along ``order`` (a time range, a value range);
+    None numbers a key in one task, for keys known to be small.
     """
     keys = list(keys)
+    if chunk is None:
+        return df.withColumn(out, F.row_number().over(
+            Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     on = keys + ["_chunk"]
     chunked = df.withColumn("_chunk", chunk)
     local = chunked.withColumn(
@@ -50,9 +71,20 @@ def block_of(ordinal: str | Column, size: int) -> Column:
     return F.floor((col - 1) / F.lit(size))
 
 
+def _over(exprs: Mapping[str, Column | tuple], base, before: int, after: int) -> dict[str, Column]:
+    columns = {}
+    for name, expr in exprs.items():
+        if isinstance(expr, tuple):
+            col, start, end = expr
+            columns[name] = col.over(base if start is None else base.rowsBetween(start, end))
+        else:
+            columns[name] = expr.over(base.rowsBetween(-before, after))
+    return columns
+
+
 def near_window(df: DataFrame, keys: Sequence[str], ordinal: str,
                 exprs: Mapping[str, Column | tuple[Column, int, int]],
-                before: int = 0, after: int = 0, size: int = BLOCK_ROWS) -> DataFrame:
+                before: int = 0, after: int = 0, size: int | None = BLOCK_ROWS) -> DataFrame:
     """Window expressions whose frame reaches ``before`` rows back, ``after`` ahead.
 
     ``ordinal`` numbers the rows of a key densely from 1. Rows near a block
@@ -61,6 +93,9 @@ def near_window(df: DataFrame, keys: Sequence[str], ordinal: str,
     own (column, start, end) frame inside that range; ``lag``/``lead`` are
     given as plain columns over a start/end of None.
     """
+    if size is None:
+        base = Window.partitionBy(*keys).orderBy(ordinal)
+        return df.withColumns(_over(exprs, base, before, after))
     if size < max(before, after):
         raise ValueError("a block must hold a whole frame")
     pos = F.pmod(F.col(ordinal) - 1, F.lit(size))
@@ -75,18 +110,11 @@ def near_window(df: DataFrame, keys: Sequence[str], ordinal: str,
         .withColumn("_block", F.explode(F.array_compact(F.array(*targets))))
     )
     base = Window.partitionBy(*keys, "_block").orderBy(ordinal)
-    columns = {}
-    for name, expr in exprs.items():
-        if isinstance(expr, tuple):
-            col, start, end = expr
-            columns[name] = col.over(base if start is None else base.rowsBetween(start, end))
-        else:
-            columns[name] = expr.over(base.rowsBetween(-before, after))
-    return spread.withColumns(columns).filter("_own = _block").drop("_own", "_block")
+    return spread.withColumns(_over(exprs, base, before, after)).filter("_own = _block").drop("_own", "_block")
 
 
 def lagged(df: DataFrame, keys: Sequence[str], ordinal: str, cols: Mapping[str, str | Column],
-           offset: int = 1, size: int = BLOCK_ROWS) -> DataFrame:
+           offset: int = 1, size: int | None = BLOCK_ROWS) -> DataFrame:
     """``lag`` (offset > 0) or ``lead`` (offset < 0) of columns along ``ordinal``."""
     exprs = {n: (F.lag(c, offset) if offset > 0 else F.lead(c, -offset), None, None)
              for n, c in cols.items()}
@@ -97,7 +125,7 @@ def lagged(df: DataFrame, keys: Sequence[str], ordinal: str, cols: Mapping[str,
 def running(df: DataFrame, keys: Sequence[str], ordinal: str,
             sums: Mapping[str, Column] | None = None, maxima: Mapping[str, Column] | None = None,
             fills: Mapping[str, Column] | None = None, before: bool = False,
-            size: int = BLOCK_ROWS) -> DataFrame:
+            size: int | None = BLOCK_ROWS) -> DataFrame:
     """Running sums, running maxima and last non-null values along ``ordinal``.
 
     The current row is included unless ``before`` is set. One block table, with
@@ -109,16 +137,21 @@ def running(df: DataFrame, keys: Sequence[str], ordinal: str,
     kinds: dict[str, tuple[str, Column]] = {}
     for kind, group in (("sum", sums), ("max", maxima), ("fill", fills)):
         kinds.update({n: (kind, c) for n, c in (group or {}).items()})
-    work = df.withColumns({f"_v_{n}": c for n, (_, c) in kinds.items()}).withColumn(
-        "_block", block_of(ordinal, size))
-    w = Window.partitionBy(*on).orderBy(ordinal).rowsBetween(
-        Window.unboundedPreceding, -1 if before else 0)
+    valued = df.withColumns({f"_v_{n}": c for n, (_, c) in kinds.items()})
+    upto = -1 if before else 0
 
     def over(kind: str, name: str, window) -> Column:
         if kind == "fill":
             return F.last(name, ignorenulls=True).over(window)
         return (F.sum(name) if kind == "sum" else F.max(name)).over(window)
 
+    if size is None:
+        plain = Window.partitionBy(*keys).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, upto)
+        return valued.withColumns({n: over(k, f"_v_{n}", plain) for n, (k, _) in kinds.items()}).drop(
+            *[f"_v_{n}" for n in kinds])
+    work = valued.withColumn("_block", block_of(ordinal, size))
+    w = Window.partitionBy(*on).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, upto)
+
     def total(kind: str, name: str) -> Column:
         if kind == "fill":
             return F.max_by(name, F.when(F.col(name).isNotNull(), F.col(ordinal)))
@@ -140,13 +173,13 @@ def running(df: DataFrame, keys: Sequence[str], ordinal: str,
 
 
 def running_total(df: DataFrame, keys: Sequence[str], ordinal: str,
-                  sums: Mapping[str, Column], size: int = BLOCK_ROWS) -> DataFrame:
+                  sums: Mapping[str, Column], size: int | None = BLOCK_ROWS) -> DataFrame:
     """Running sums along ``ordinal`` (current row included)."""
     return running(df, keys, ordinal, sums=sums, size=size)
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], ordinal: str,
-                 fills: Mapping[str, Column], size: int = BLOCK_ROWS) -> DataFrame:
+                 fills: Mapping[str, Column], size: int | None = BLOCK_ROWS) -> DataFrame:
     """Last non-null value up to and including the current row."""
     return running(df, keys, ordinal, fills=fills, size=size)
 
@@ -198,14 +231,18 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str | Column,
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
-                    probs: Mapping[str, float]) -> DataFrame:
+                    probs: Mapping[str, float], small: int = SMALL_GROUP_ROWS) -> DataFrame:
     """Linearly interpolated quantiles per key, exact at any group size.
 
-    The group is never gathered: equal values are counted, the counts are laid
-    out in value buckets, and only the one or two order statistics that a
-    quantile needs are picked out.
+    Where a count shows that no group has more than ``small`` rows, the
+    built-in exact percentile is used. A larger group is never gathered: equal
+    values are counted, the counts are laid out in value buckets, and only the
+    one or two order statistics that a quantile needs are picked out.
     """
     keys = list(keys)
+    if largest_group(df, keys) <= small:
+        v = F.col(value) if isinstance(value, str) else value
+        return df.groupBy(*keys).agg(*[F.percentile(v.cast("double"), p).alias(n) for n, p in probs.items()])
     ranked = _bucketed(value_counts(df, keys, value), keys)
     lone = keys or ["_all"]
     last = F.col("_below") + F.col("n")
@@ -224,10 +261,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
         for n in probs])
 
 
-def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str,
+             small: int = SMALL_GROUP_ROWS) -> DataFrame:
     """Rank correlation with average ranks per key: (keys, n, rho).
 
-    Equal pairs collapse first; ranks are joined to distinct pairs only.
+    Equal pairs collapse first. Small keys are ranked by a window; for large
+    ones the ranks of the distinct values are joined to the distinct pairs.
     """
     keys = list(keys)
     pairs = (
@@ -235,11 +274,19 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
         .where("_x IS NOT NULL AND _y IS NOT NULL")
         .groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
     )
-    rx = average_ranks(pairs, keys, "_x", "_w").select(
-        *keys, F.col("v").alias("_x"), F.col("avg_rank").alias("_rx"))
-    ry = average_ranks(pairs, keys, "_y", "_w").select(
-        *keys, F.col("v").alias("_y"), F.col("avg_rank").alias("_ry"))
-    ranked = pairs.join(rx, [*keys, "_x"]).join(ry, [*keys, "_y"])
+    if largest_group(df, keys) <= small:
+        def rank(c: str) -> Column:
+            upto = Window.partitionBy(*keys).orderBy(c).rangeBetween(
+                Window.unboundedPreceding, Window.currentRow)
+            ties = F.sum("_w").over(Window.partitionBy(*keys, c))
+            return F.sum("_w").over(upto) - (ties - 1) / F.lit(2.0)
+        ranked = pairs.withColumns({"_rx": rank("_x"), "_ry": rank("_y")})
+    else:
+        rx = average_ranks(pairs, keys, "_x", "_w").select(
+            *keys, F.col("v").alias("_x"), F.col("avg_rank").alias("_rx"))
+        ry = average_ranks(pairs, keys, "_y", "_w").select(
+            *keys, F.col("v").alias("_y"), F.col("avg_rank").alias("_ry"))
+        ranked = pairs.join(rx, [*keys, "_x"]).join(ry, [*keys, "_y"])
     w, a, b = F.col("_w"), F.col("_rx"), F.col("_ry")
     sums = ranked.groupBy(*keys).agg(
         F.sum(w).alias("n"), F.sum(w * a).alias("_sa"), F.sum(w * b).alias("_sb"),
@@ -247,5 +294,5 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
         F.sum(w * a * b).alias("_sab"))
     n = F.col("n")
     num = F.col("_sab") - F.col("_sa") * F.col("_sb") / n
-    den = F.sqrt((F.col("_saa") - F.col("_sa") ** 2 / n) * (F.col("_sbb") - F.col("_sb") ** 2 / n))
+    den = F.sqrt((F.col("_saa") - F.pow("_sa", F.lit(2.0)) / n) * (F.col("_sbb") - F.pow("_sb", F.lit(2.0)) / n))
     return sums.select(*keys, "n", F.when(den > 0, num / den).alias("rho"))

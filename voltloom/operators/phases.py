@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltloom.operators.ordered import near_window, running, running_total
+from voltloom.operators.ordered import block_size, near_window, running, running_total
 from voltloom.session import staged
 
 REST_BELOW_A = 0.5
@@ -114,10 +114,15 @@ class Phases:
     log: Log
     runs: DataFrame
     table: DataFrame
+    size: int | None = None   # None: every cell has few runs, plain windows are safe
 
     @property
     def discharges(self) -> DataFrame:
-        return numbered(self.table, "discharge")
+        return numbered(self.table, "discharge", self.size)
+
+    @property
+    def charges(self) -> DataFrame:
+        return numbered(self.table, "charge", self.size)
 
 
 def _bridge(now: Column, before: Column, signed: bool) -> Column:
@@ -148,9 +153,11 @@ def _kept_label(min_samples: int) -> Column:
     return F.when((length >= min_samples) | first, label)
 
 
-def segment(log: Log) -> Phases:
+def segment(log: Log, limit: int | None = None) -> Phases:
     """Runs shorter than ``min_samples`` take the label before them, then equal labels merge."""
-    runs = numbered_runs(staged(partial_runs(log)))
+    stored = staged(partial_runs(log))
+    size = block_size(stored, CELL) if limit is None else limit
+    runs = numbered_runs(stored)
     volts = "raw1" in runs.columns
     reach = log.min_samples - 1
     near = F.struct("label", "n")
@@ -159,13 +166,13 @@ def segment(log: Log) -> Phases:
     if volts:
         around["raw_before"] = (F.lag("raw1", 1), None, None)
     depth = max(reach, 1)
-    close = near_window(runs, CELL, "run_no", around, before=depth, after=depth).withColumn(
+    close = near_window(runs, CELL, "run_no", around, before=depth, after=depth, size=size).withColumn(
         "_kept", _kept_label(log.min_samples)).drop(*[c for c in around if c != "raw_before"])
-    past = staged(running(close, CELL, "run_no", before=True, fills={
+    past = staged(running(close, CELL, "run_no", before=True, size=size, fills={
         "_kept_before": F.col("_kept"),
         "_fin": F.when(F.col("fin1").isNotNull(), F.struct("run_no", "fin1"))}))
     turn = F.col("_kept").isNotNull() & ~F.col("_kept").eqNullSafe(F.col("_kept_before"))
-    placed = running(past, CELL, "run_no", sums={"phase_no": turn.cast("int")},
+    placed = running(past, CELL, "run_no", size=size, sums={"phase_no": turn.cast("int")},
                      maxima={"_phase_start": F.when(turn, F.col("run_no"))})
     same = F.col("_fin.run_no") >= F.col("_phase_start")
     linked = placed.withColumns({
@@ -174,7 +181,7 @@ def segment(log: Log) -> Phases:
         "gap_q": F.when(same, _bridge(F.col("fin0"), F.col("_fin.fin1"), True)).otherwise(0.0),
     }).drop("_kept", "_kept_before", "_fin", "_phase_start", "fin0", "fin1")
     linked = staged(linked)
-    return Phases(log, linked, phase_table(linked))
+    return Phases(log, linked, phase_table(linked), size)
 
 
 def phase_table(runs: DataFrame) -> DataFrame:
@@ -200,10 +207,10 @@ def phase_table(runs: DataFrame) -> DataFrame:
     return runs.groupBy("cell_id", "phase_no", "kind").agg(*aggs)
 
 
-def numbered(phases: DataFrame, kind: str) -> DataFrame:
+def numbered(phases: DataFrame, kind: str, size: int | None = 65_536) -> DataFrame:
     """The phases of one kind, numbered 1.. per cell as ``cycle``."""
     counted = running_total(phases, CELL, "phase_no", {
-        "cycle": (F.col("kind") == kind).cast("int")})
+        "cycle": (F.col("kind") == kind).cast("int")}, size)
     return counted.where(F.col("kind") == kind)
 
 
@@ -225,12 +232,13 @@ def measure_cycles(discharges: DataFrame, complete_fraction: float = COMPLETE_FR
     return out.drop("largest_ah", "charge_ah")
 
 
-def cycle_frame(measured: DataFrame, complete_only: bool = True) -> DataFrame:
+def cycle_frame(measured: DataFrame, complete_only: bool = True,
+                size: int | None = 65_536) -> DataFrame:
     """All discharges, or only the complete ones renumbered 1.. per cell."""
     if not complete_only:
         return measured
     renumbered = running_total(measured.withColumnRenamed("cycle", "discharge_no"), CELL,
-                               "discharge_no", {"cycle": F.col("is_complete").cast("int")})
+                               "discharge_no", {"cycle": F.col("is_complete").cast("int")}, size)
     return renumbered.where("is_complete").drop("discharge_no")
 
 
@@ -252,13 +260,13 @@ def with_phase(phases: Phases, kind: str | None = None) -> DataFrame:
     runs = phases.runs
     if kind is not None:
         runs = runs.where(F.col("kind") == kind)
-    return _with_offsets(phases.log, runs)
+    return _with_offsets(phases.log, runs, phases.size)
 
 
-def _with_offsets(log: Log, runs: DataFrame) -> DataFrame:
+def _with_offsets(log: Log, runs: DataFrame, size: int | None) -> DataFrame:
     moved = F.col("q") + F.col("gap_q")
     totals = running_total(runs.withColumn("_moved", moved), CELL, "run_no",
-                           {"_upto": F.col("_moved")})
+                           {"_upto": F.col("_moved")}, size)
     starts = totals.groupBy("cell_id", "phase_no").agg(
         F.min_by(F.col("_upto") - F.col("_moved"), F.col("run_no")).alias("_base"))
     places = totals.join(starts, ["cell_id", "phase_no"]).select(

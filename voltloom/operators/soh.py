@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltloom.operators.curves import V_HIGH, V_LOW, first_rows, small_median
+from voltloom.operators.curves import V_HIGH, V_LOW, first_rows
 from voltloom.operators.phases import CELL
 
 REFERENCE_CYCLES = 5
@@ -16,6 +16,7 @@ MAX_IMPLAUSIBLE = 0.20
 MAX_REFERENCE_EFC = 20.0
 RECENT_READINGS = 10
 CONSISTENT_BELOW = 0.01
+MEDIAN_SE = 1.2533   # standard error of a median, in median absolute deviations / sqrt(n)
 
 TOO_LITTLE = ("discharge delivered under 50% of the reference charge: either it was cut short or the "
               "cell has lost more than half its capacity, and the window cannot tell which")
@@ -93,37 +94,17 @@ def field_gates(table: DataFrame, discharges: DataFrame, k: int = REFERENCE_CYCL
     })
 
 
-def _median_abs(values: Column) -> Column:
-    m = small_median(values)
-    return small_median(F.transform(values, lambda x: F.abs(x - m)))
+def _scatter(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds |value - median| per cell; the rows are a few per cell."""
+    cell = Window.partitionBy("cell_id")
+    return rows.withColumn("_x", value).withColumn("_mid", F.percentile("_x", 0.5).over(cell)).withColumn(
+        name, F.abs(F.col("_x") - F.col("_mid"))).drop("_x", "_mid")
 
 
-def uncertainty(first: Column, recent: Column, k: int = REFERENCE_CYCLES) -> Column:
-    """Standard error of the reported SOH from the readings' own scatter.
-
-    ``first`` holds the reference charges, ``recent`` the last ten readings
-    after them, oldest first.
-    """
-    n = F.size(recent)
-    idx = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-    nn = n.cast("double")
-    sx = nn * (nn - 1) / 2
-    sxx = nn * (nn - 1) * (2 * nn - 1) / 6
-    zero = F.lit(0.0)
-    sy = F.aggregate(recent, zero, lambda a, x: a + x)
-    sxy = F.aggregate(F.zip_with(recent, idx, lambda y, x: y * x), zero, lambda a, x: a + x)
-    slope = F.try_divide(nn * sxy - sx * sy, nn * sxx - sx * sx)
-    level = (sy - slope * sx) / nn
-    residual = F.zip_with(recent, idx, lambda y, x: y - (level + slope * x))
-    recent_se = 1.2533 * _median_abs(residual) / F.sqrt(F.lit(float(REPORT_CYCLES)))
-    ref_se = F.when(F.size(first) >= 2, 1.2533 * _median_abs(first) / F.sqrt(
-        F.size(first).cast("double")) / small_median(first))
-    return F.when((F.size(first) >= k) & (n >= 4),
-                  F.sqrt(F.pow(F.coalesce(ref_se, zero), 2.0) + F.pow(recent_se, 2.0)))
-
-
-def _ordered(values: Column) -> Column:
-    return F.transform(F.array_sort(values), lambda s: s["x"])
+def _line_residual() -> Column:
+    cell = Window.partitionBy("cell_id")
+    y, x = F.col("soh_window_accepted"), -F.col("_back").cast("double")
+    return y - (F.regr_intercept(y, x).over(cell) + F.regr_slope(y, x).over(cell) * x)
 
 
 def current_soh(table: DataFrame, discharges: DataFrame, k: int = REFERENCE_CYCLES,
@@ -131,22 +112,21 @@ def current_soh(table: DataFrame, discharges: DataFrame, k: int = REFERENCE_CYCL
                 compensated: bool = True) -> DataFrame:
     """One row per cell: the reported SOH, or the reason there is none.
 
-    Only the first five and the last ten accepted readings of a cell are
-    gathered, picked by a row limit that runs before the shuffle.
+    Scatter is judged on the first five and the last ten accepted readings of
+    a cell, picked by a row limit that runs before the shuffle.
     """
-    reading = lambda c: F.struct(F.col("cycle"), F.col(c).alias("x"))
     accepted = table.where("soh_window_accepted IS NOT NULL")
-    heads = first_rows(accepted, CELL, ["cycle"], k).groupBy("cell_id").agg(
-        F.collect_list(reading("window_charge_ah")).alias("_first"),
-        F.max("cycle").alias("_cut"),
+    heads = _scatter(first_rows(accepted, CELL, ["cycle"], k), F.col("window_charge_ah"), "_off")
+    heads = heads.groupBy("cell_id").agg(
+        (F.percentile("_off", 0.5) / F.percentile("window_charge_ah", 0.5)).alias("_ref_mad"),
+        F.count(F.lit(1)).alias("_n_ref"), F.max("cycle").alias("_cut"),
         F.percentile("r_trailing_ohm", 0.5).alias("resistance_reference_ohm"))
     after = accepted.join(heads.select("cell_id", "_cut"), "cell_id").where("cycle > _cut")
-    tail = first_rows(after, CELL, [F.desc("cycle")], RECENT_READINGS)
     last = Window.partitionBy("cell_id").orderBy(F.desc("cycle"))
-    tail = tail.withColumn("_back", F.row_number().over(last))
+    tail = after.withColumn("_back", F.row_number().over(last)).where(F.col("_back") <= RECENT_READINGS)
     near = F.col("_back") <= REPORT_CYCLES
-    tails = tail.groupBy("cell_id").agg(
-        F.collect_list(reading("soh_window_accepted")).alias("_recent"),
+    tails = _scatter(tail, _line_residual(), "_off").groupBy("cell_id").agg(
+        F.percentile("_off", 0.5).alias("_recent_mad"), F.count(F.lit(1)).alias("_n_recent"),
         F.percentile(F.when(near, F.col("soh_window_accepted")), 0.5).alias("soh"),
         F.max("cycle").alias("at_cycle"),
         F.percentile(F.when(near, F.col("r_trailing_ohm")), 0.5).alias("resistance_now_ohm"))
@@ -174,7 +154,9 @@ def current_soh(table: DataFrame, discharges: DataFrame, k: int = REFERENCE_CYCL
     ok = refusal == ""
     out = joined.withColumns({
         "refusal": refusal,
-        "uncertainty": F.when(ok, uncertainty(_ordered(F.col("_first")), _ordered(F.col("_recent")), k)),
+        "uncertainty": F.when(ok & (F.col("_n_ref") >= k) & (F.col("_n_recent") >= 4), F.sqrt(
+            F.pow(MEDIAN_SE * F.col("_ref_mad") / F.sqrt("_n_ref"), F.lit(2.0))
+            + F.pow(MEDIAN_SE * F.col("_recent_mad") / F.sqrt(F.lit(float(REPORT_CYCLES))), F.lit(2.0)))),
     })
     good = F.col("refusal") == ""
     r0, r1 = F.col("resistance_reference_ohm"), F.col("resistance_now_ohm")
