@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltloom.functions.numbers import computed
 from voltloom.operators.ordered import with_ordinal
 
 DAY_S = 86_400
@@ -94,3 +95,95 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
         (20.0 + 10.0 * group + F.col("tax_max") * 100).alias("max_temp"),
         (F.col("disc") * 500).alias("avg_stress"), F.col("q").alias("avg_soc"),
         "deep_discharge_duration", "aggressive_discharge_count")
+
+
+def _class() -> F.Column:
+    return F.pmod(F.substring_index("cell_id", "_", -1).cast("int"), F.lit(7))
+
+
+def wire_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telemetry as devices would send it; the capture's class picks its defect.
+
+    1 foreign schema, 2 no temperature, 3 clock reset, 4 SOC as a fraction,
+    5 most lines corrupted, 6 a pack, 0 sound.
+    """
+    k, seq = F.col("k"), F.col("seq")
+    return telemetry(spark, sf_dir).withColumn("k", _class()).withColumns({
+        "test_time_s": F.when((k == 3) & (seq >= 40), (seq - 40) * 30.0).otherwise(F.col("test_time_s")),
+        "temperature_c": F.when(k != 2, F.floor(F.col("temperature_c") * 10) / 10.0),
+        "soc": F.when(k == 4, F.col("soc") / 100.0).otherwise(F.col("soc")),
+    })
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(capture_id, seq, line): HELLO, status, noise and data lines of every capture."""
+    from voltloom.functions import wire
+
+    rec = wire_records(spark, sf_dir)
+    k, seq = F.col("k"), F.col("seq")
+    both = computed(rec, {f"n_{f.name}": wire.short_number(F.col(f.channel)) for f in wire.WIRE_FIELDS})
+    compact = F.concat_ws(" ", *[F.concat(F.lit(f"{f.name}="), F.col(f"n_{f.name}")) for f in wire.WIRE_FIELDS])
+    as_json = F.to_json(F.struct(*[F.col(f.channel).alias(f.name) for f in wire.WIRE_FIELDS]))
+    bodies = computed(both, {"body": F.when(seq % 2 == 1, as_json).otherwise(compact)})
+    wrong = (seq % 23 == 0) | ((k == 5) & (seq % 3 != 0))
+    sums = computed(bodies, {"sum": wire.xor_checksum(
+        F.when(wrong, F.concat("body", F.lit("x"))).otherwise(F.col("body")))})
+    whole = F.concat(F.lit(f"{wire.SENTINEL} D "), "body", F.lit("*"), "sum")
+    line = F.when(seq % 17 == 0, F.substring(whole, 1, len(wire.SENTINEL) + 4)).otherwise(whole)
+    data = sums.select(F.col("cell_id").alias("capture_id"), (seq + 10).alias("seq"), line.alias("line"))
+    cells = rec.select("cell_id", "k").distinct()
+    short = tuple(f.name for f in wire.WIRE_FIELDS if f.name != "tc")
+    hello = (F.when(k == 1, wire.encode_hello(F.col("cell_id"), schema_id="other/9"))
+             .when(k == 2, wire.encode_hello(F.col("cell_id"), fields=short))
+             .when(k == 6, wire.encode_hello(F.col("cell_id"), capacity_ah=F.lit(40.0), unit="pack"))
+             .otherwise(wire.encode_hello(F.col("cell_id"), capacity_ah=F.lit(2.5))))
+    extra = cells.select(F.col("cell_id").alias("capture_id"), F.inline(F.array(
+        F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit("boot: ready").alias("line")),
+        F.struct(F.lit(1).cast("bigint").alias("seq"), hello.alias("line")),
+        F.struct(F.lit(2).cast("bigint").alias("seq"), wire.encode_status(F.lit("rig started")).alias("line")))))
+    return data.unionByName(extra)
+
+
+SIGNALS = (
+    # can_id, signal, start_bit, bit_length, big_endian, is_signed, factor, offset
+    (512, "pack_v", 0, 16, False, False, 0.01, 0.0),
+    (512, "pack_i", 23, 16, True, True, 0.1, 0.0),
+    (513, "pack_soc", 0, 8, False, False, 0.5, 0.0),
+    (513, "t_mean", 8, 8, False, False, 1.0, -40.0),
+    (513, "t_max", 16, 8, False, False, 1.0, -40.0),
+)
+SIGNAL_MAP = (("pack_v", "voltage_v"), ("pack_i", "current_a"), ("pack_soc", "soc"), ("t_mean", "temperature_c"))
+
+
+def dictionary(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        list(SIGNALS), "can_id int, signal string, start_bit int, bit_length int, big_endian boolean, "
+                       "is_signed boolean, factor double, offset double")
+
+
+def signal_map(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(SIGNAL_MAP), "signal string, channel string")
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telemetry packed into two bus frames per sample, with error and unknown frames."""
+    def word(x: F.Column, digits: int) -> F.Column:
+        return F.lpad(F.hex(F.pmod(x.cast("bigint"), F.lit(16 ** digits))), digits, "0")
+
+    t = telemetry(spark, sf_dir)
+    v = word(F.floor(F.col("voltage_v") * 100), 4)
+    little = F.concat(F.substring(v, 3, 2), F.substring(v, 1, 2))
+    amps = word(F.floor(F.col("current_a") * 10), 4)
+    heat = word(F.floor("temperature_c") + 40, 2)
+    first = F.concat(little, amps, F.lit("00000000"))
+    second = F.concat(word(F.col("soc") * 2, 2), heat, heat, F.lit("0000000000"))
+    seq = F.col("seq") * 4
+    none, yes = F.lit(False), F.lit(True)
+
+    def frame(n: int, can_id: int, data: F.Column, error: F.Column) -> F.Column:
+        return F.struct((seq + n).alias("seq"), F.lit(can_id).alias("can_id"), F.unhex(data).alias("data"),
+                        error.alias("is_error"), none.alias("is_remote"))
+
+    return t.select("cell_id", F.col("test_time_s").alias("ts"), F.inline(F.array(
+        frame(0, 512, first, none), frame(1, 513, second, none), frame(2, 999, F.lit("0102"), none),
+        frame(3, 512, F.lit("FFFFFFFFFFFFFFFF"), yes))))

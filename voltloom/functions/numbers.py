@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,3 +50,13 @@ def solve_normal(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
 
     for xx, xy in batches:
         yield pd.Series([one(m, v) for m, v in zip(xx, xy)], dtype=object)
+
+
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that later expressions use many times.
+
+    A generator keeps the optimizer from pasting a parser call into each of
+    its uses.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
