@@ -289,7 +289,7 @@ def _(spark, sf_dir):
     return cohorts.transfer_scores(*_pair(spark, sf_dir), evaluate.AGE_LINEAR, "capacity_ah")
 
 
-@query("val_governed_scoring", "cell_id:s cohort:s version:i score:d6 refused:b",
+@query("val_governed_scoring", "cell_id:s cohort:s version:d0 score:d6 refused:b",
        """SELECT o.cell_id, CASE WHEN b.v = 0 THEN b.cohort END AS cohort, CASE WHEN b.v = 0 THEN 3 END AS version,
           CASE WHEN b.v = 0 THEN 1.0 + 0.01*o.avg_temp + 0.5*o.avg_soc END AS score, b.v <> 0 AS refused FROM o_obs o JOIN (
             SELECT cell_id, max_by(struct_pack(cohort := cohort, v := v), struct_pack(m := CASE WHEN v = 0 THEN 1 ELSE 0 END,
