@@ -1,6 +1,6 @@
 """All registered queries and their SQL twins."""
 
-from voltloom.catalog import analysis, device, evaluation, fleet, life, sequence, state  # noqa: F401
+from voltloom.catalog import analysis, device, evaluation, files, fleet, life, sequence, state  # noqa: F401
 from voltloom.catalog.base import CATALOG
 
 __all__ = ["CATALOG"]

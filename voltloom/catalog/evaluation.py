@@ -114,7 +114,7 @@ def draw_sql(seed: int, *parts: str) -> str:
     return f"(({h}*48271 + 11) % {M})"
 
 
-VIEWS["b_folds"] = "SELECT *, row_number() OVER (ORDER BY held_out) AS i, count(*) OVER () AS n FROM vt_folds"
+VIEWS["b_folds"] = "SELECT *, row_number() OVER (ORDER BY CAST('0x' || substr(md5(held_out),1,8) AS BIGINT), held_out) AS i, count(*) OVER () AS n FROM vt_folds"
 VIEWS["b_medians"] = f"""
 SELECT rep, quantile_cont(f.mae, 0.5) AS m FROM (
   SELECT rep, pos, 1 + {draw_sql(7, 'CAST(rep AS BIGINT)', 'CAST(pos AS BIGINT)')} % (SELECT count(*) FROM b_folds) AS pick

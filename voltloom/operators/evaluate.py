@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltloom.functions.numbers import draw, solve_normal
+from voltloom.functions.numbers import draw, solve_normal, text_number
 from voltloom.operators.ordered import exact_quantiles, spearman, with_ordinal
 
 MIN_TEST_ROWS = 10
@@ -214,8 +214,9 @@ def bootstrap_median_ci(values: DataFrame, keys: Sequence[str], value: str, orde
     """
     keys = list(keys)
     ok = values.where(F.col(value).isNotNull())
-    numbered = with_ordinal(ok.select(*keys, order, value), keys, [order],
-                            F.lit(0), "_i")
+    code = text_number(F.col(order).cast("string"))
+    numbered = with_ordinal(ok.select(*keys, order, value).withColumn("_h", code), keys, ["_h", order],
+                            F.floor(F.col("_h") / 4_194_304), "_i")
     sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_folds"))
     plan = sizes.where(F.col("n_folds") >= MIN_FOLDS_FOR_CI).withColumn(
         "_rep", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltloom.functions.numbers import draw, solve_normal
+from voltloom.functions.numbers import draw, solve_normal, text_number
 from voltloom.operators.life import in_cycle_order
 from voltloom.operators.ordered import (
     average_ranks, block_size, exact_quantiles, near_window, spearman, with_ordinal,
@@ -74,10 +74,12 @@ def permutation_test(frame: DataFrame, key: str, x: str, y: str, permutations: i
         "_x IS NOT NULL AND _y IS NOT NULL")
     rx = average_ranks(rows, [], "_x").select(F.col("v").alias("_x"), F.col("avg_rank").alias("_rx"))
     ry = average_ranks(rows, [], "_y").select(F.col("v").alias("_y"), F.col("avg_rank").alias("_ry"))
-    ranked = with_ordinal(rows.join(rx, "_x").join(ry, "_y").withColumn("_all", F.lit(0)), ["_all"], [key], F.lit(0), "_i")
+    coded = rows.join(rx, "_x").join(ry, "_y").withColumns({
+        "_all": F.lit(0), "_h": text_number(F.col(key).cast("string"))})
+    ranked = with_ordinal(coded, ["_all"], ["_h", key], F.floor(F.col("_h") / 4_194_304), "_i")
     reps = ranked.select("_i", "_rx", "_ry", F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("_rep"))
     order = F.when(F.col("_rep") == 0, F.col("_i")).otherwise(draw(seed, F.col("_rep"), F.col("_i")))
-    shuffled = with_ordinal(reps.withColumn("_o", order), ["_rep"], ["_o", "_i"], None, "_k")
+    shuffled = with_ordinal(reps.withColumn("_o", order), ["_rep"], ["_o", "_i"], F.floor(F.col("_o") / 4_194_304), "_k")
     left = shuffled.select("_rep", "_k", "_rx")
     right = reps.select("_rep", F.col("_i").alias("_k"), "_ry")
     paired = left.join(right, ["_rep", "_k"]).groupBy("_rep").agg(F.corr("_rx", "_ry").alias("rho"))
