@@ -101,7 +101,9 @@ def cell_directory(spark: SparkSession, path: str, columns: str) -> tuple[DataFr
            .withColumns({"path": F.col("_metadata.file_path"), "mtime": F.col("_metadata.file_modification_time")}))
     rows = raw.withColumns({
         "cell_id": F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), "file_date": file_order(F.col("path"))})
+    value = columns.split()[0]
     report = rows.groupBy("cell_id", "path", "file_date", "mtime").agg(
+        F.count(value).alias("n_values"),
         F.count_if(F.col("_bad").isNull()).alias("n_rows"), F.count_if(F.col("_bad").isNotNull()).alias("n_bad"))
     w = Window.partitionBy("cell_id").orderBy(F.asc_nulls_last("file_date"), "mtime", "path")
     report = report.withColumn("file_no", F.row_number().over(w)).withColumn(
