@@ -65,7 +65,7 @@ def _(spark, sf_dir):
     out = folder(spark, "cells")
     d = fixtures.duty(spark, sf_dir).select("cell_id", F.floor(F.col("cyc") / 8).alias("part"), "test_time_s", "current_a", "voltage_v")
     d.repartition("cell_id", "part").write.partitionBy("cell_id", "part").option("header", True).csv(out)
-    _, report = scan.cell_directory(spark, out, "test_time_s DOUBLE, current_a DOUBLE, voltage_v DOUBLE")
+    _, report = scan.cell_directory(spark, out, {"test_time_s": "double", "current_a": "double", "voltage_v": "double"})
     cell = F.regexp_extract("path", r"cell_id=([^/]+)/", 1)
     return report.groupBy(cell.alias("cell_id")).agg(
         F.sum("n_rows").alias("n_rows"), F.sum("n_bad").alias("n_bad"), F.count(F.lit(1)).alias("n_files"))

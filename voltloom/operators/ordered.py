@@ -166,6 +166,8 @@ def running(df: DataFrame, keys: Sequence[str], ordinal: str,
         here, came = F.col(f"_l_{n}"), F.col(f"_c_{n}")
         if k == "sum":
             out[n] = F.coalesce(came + here, here, came)
+        elif k == "max":
+            out[n] = F.greatest(here, came)
         else:
             out[n] = F.coalesce(here, came)
     return local.join(carried, on).withColumns(out).drop(

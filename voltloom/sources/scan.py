@@ -89,27 +89,29 @@ def file_order(path: Column) -> Column:
     return F.when(part(1) != "", F.make_date(part(3).cast("int") + 2000, part(1).cast("int"), part(2).cast("int")))
 
 
-def cell_directory(spark: SparkSession, path: str, columns: str) -> tuple[DataFrame, DataFrame]:
+def cell_directory(spark: SparkSession, path: str, columns: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
     """All exports below a directory as one log, and a report per file.
 
-    The cell is the name of the file's directory; rows that do not parse are
-    kept apart and counted in the report.
+    The cell is the name of the file's directory. ``columns`` maps header
+    names to types; a row whose text does not fit them is kept out of the log
+    and counted in the report.
     """
-    raw = (spark.read.schema(columns + ", _bad STRING").option("header", True)
-           .option("recursiveFileLookup", True).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_bad").csv(path)
+    text = ", ".join(f"{c} STRING" for c in columns)
+    raw = (spark.read.schema(text).option("header", True).option("recursiveFileLookup", True).csv(path)
            .withColumns({"path": F.col("_metadata.file_path"), "mtime": F.col("_metadata.file_modification_time")}))
+    bad = F.lit(False)
+    for c, t in columns.items():
+        bad = bad | (F.col(c).isNotNull() & F.col(c).try_cast(t).isNull())
     rows = raw.withColumns({
-        "cell_id": F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), "file_date": file_order(F.col("path"))})
-    value = columns.split()[0]
+        "_bad": bad, "cell_id": F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), "file_date": file_order(F.col("path"))})
     report = rows.groupBy("cell_id", "path", "file_date", "mtime").agg(
-        F.count(value).alias("n_values"),
-        F.count_if(F.col("_bad").isNull()).alias("n_rows"), F.count_if(F.col("_bad").isNotNull()).alias("n_bad"))
+        F.count_if(~F.col("_bad")).alias("n_rows"), F.count_if("_bad").alias("n_bad"))
     w = Window.partitionBy("cell_id").orderBy(F.asc_nulls_last("file_date"), "mtime", "path")
     report = report.withColumn("file_no", F.row_number().over(w)).withColumn(
         "status", F.when(F.col("n_rows") == 0, "skipped: no readable row").when(F.col("n_bad") > 0, "partly read")
         .otherwise("read"))
-    log = rows.where("_bad IS NULL").drop("_bad").join(report.select("path", "file_no"), "path")
+    log = rows.where(~F.col("_bad")).drop("_bad").withColumns(
+        {c: F.col(c).try_cast(t) for c, t in columns.items()}).join(report.select("path", "file_no"), "path")
     return log, report
 
 
