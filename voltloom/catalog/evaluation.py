@@ -25,8 +25,8 @@ FROM (SELECT DISTINCT {group} FROM {source}) g JOIN {source} t ON t.{group} <> g
 SELECT t.*, f.train_mean, f.b + f.m*{xx} AS pred, f.age_b + f.age_m*cycle AS age_pred, f.n_train, f.cohorts
 FROM {source} t JOIN {p}_fit f ON t.{group} = f.{group}""",
         f"{p}_ranks": f"""
-SELECT *, rank() OVER (PARTITION BY {group} ORDER BY pred) + (count(*) OVER (PARTITION BY {group}, pred) - 1)/2.0 AS rp,
-  rank() OVER (PARTITION BY {group} ORDER BY {y}) + (count(*) OVER (PARTITION BY {group}, {y}) - 1)/2.0 AS ry
+SELECT *, rank() OVER (PARTITION BY {group} ORDER BY round(pred, 8)) + (count(*) OVER (PARTITION BY {group}, round(pred, 8)) - 1)/2.0 AS rp,
+  rank() OVER (PARTITION BY {group} ORDER BY round({y}, 8)) + (count(*) OVER (PARTITION BY {group}, round({y}, 8)) - 1)/2.0 AS ry
 FROM {p}_scored""",
         f"{p}_folds": f"""
 SELECT {group} AS held_out, min(n_train) AS n_train, count(*) AS n_test, avg(abs({y}-pred)) AS mae,

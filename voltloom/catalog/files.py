@@ -79,7 +79,7 @@ def _(spark, sf_dir):
         F.struct("test_time_s", "voltage_v", (F.col("current_a") * 1000).alias("q"), "temperature_c"))).alias("s"))
     q = F.col("s.q")
     block = F.struct(F.col("s.test_time_s").alias("t"), F.col("s.voltage_v").alias("v"),
-                     F.when(F.col("cycle") % 2 == 0, q).otherwise(F.slice(q, 1, 2)).alias("q"), F.col("s.temperature_c").alias("temp"))
+                     F.when(F.col("cycle") % 2 == 0, q).otherwise(F.slice(q, 1, F.size(q) - 1)).alias("q"), F.col("s.temperature_c").alias("temp"))
     return scan.nested_blocks(arrays.select("cell_id", "cycle", F.create_map(F.lit("C1dc"), block).alias("blocks")), 3.0)
 
 

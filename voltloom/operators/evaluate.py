@@ -138,7 +138,9 @@ def cross_validate(frame: DataFrame, model: Linear, target: str, group: str, spl
         F.sum(err * err).alias("_res"), F.sum(F.pow(y - F.col("_train_mean"), F.lit(2.0))).alias("_tot"),
         (F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(y)).alias("_own"),
         F.sum(F.pow(y - against, F.lit(2.0))).alias("_age"))
-    rho = spearman(scored, [group], "_pred", target).select(group, F.col("rho").alias("spearman_rho"))
+    # Values equal to eight decimals are ties: the last bit of a sum must not rank them.
+    near = scored.select(group, F.round("_pred", 8).alias("_p"), F.round(y, 8).alias("_y"))
+    rho = spearman(near, [group], "_p", "_y").select(group, F.col("rho").alias("spearman_rho"))
 
     def r2(base: str) -> Column:
         return F.when(F.col(base) > 0, 1.0 - F.col("_res") / F.col(base))
