@@ -217,3 +217,19 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     report = conformal.cohort_coverage(_rows(spark, sf_dir), evaluate.AGE_LINEAR, "cumulative_fade")
     return conformal.coverage_summary(staged(report))
+
+
+VIEWS.update(fold_views("vm", "v_rows", "cumulative_fade", None, "cohort"))
+
+
+@query("val_baseline_train_mean", "held_out:s n_train:i n_test:i mae:d6 rmse:d6 r2_vs_own_mean_oracle:d4",
+       "SELECT * FROM vm_folds")
+def _(spark, sf_dir):
+    return evaluate.cross_validate(_rows(spark, sf_dir), evaluate.TRAIN_MEAN, "cumulative_fade",
+                                   "cohort", "LOCO").where("error IS NULL")
+
+
+@query("val_baseline_age_quadratic", "held_out:s n_train:i n_test:i mae:d6 rmse:d6 r2_vs_global_mean:d4")
+def _(spark, sf_dir):
+    return evaluate.cross_validate(_rows(spark, sf_dir), evaluate.AGE_QUADRATIC, "cumulative_fade",
+                                   "cohort", "LOCO").where("error IS NULL")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from voltloom import fixtures, schema
 from voltloom.catalog.base import query
 from voltloom.catalog.life import cycle_frame
-from voltloom.catalog.state import runs
+from voltloom.catalog.state import run_of, runs
 from voltloom.session import shared_dir, staged
 from voltloom.sources import scan
 from voltloom.streaming import live
@@ -145,7 +145,7 @@ def _(spark, sf_dir):
     q = (live.transition_stream(stream).writeStream.format("parquet").option("path", f"{out}/t")
          .option("checkpointLocation", f"{out}/c").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(live.TRANSITION).parquet(f"{out}/t").withColumn("run", F.hour("at"))
+    return spark.read.schema(live.TRANSITION).parquet(f"{out}/t").withColumn("run", run_of("at"))
 
 
 @query("str_live_phase_counter", "cell_id:s test_time_s:d3 phase:s phase_mah:d4 alarm:s",

@@ -27,6 +27,11 @@ SELECT battery_id, run, health_index, round(health_index/100.0, 4) AS failure_li
 FROM (SELECT *, CAST({total_sql(HEALTH_SQL)} AS DOUBLE) AS health_index FROM t_runs) h"""
 
 
+def run_of(at: str) -> F.Column:
+    """Run number of a snapshot time: whole hours since the first."""
+    return F.floor((F.unix_seconds(at) - F.unix_seconds(F.to_timestamp(F.lit(T0)))) / 3600)
+
+
 def runs(spark, sf_dir):
     """Snapshots of three runs; ``evaluated_at`` is an hour apart."""
     rows = _behaviour(spark, sf_dir).withColumn("run", F.pmod(F.col("cycle"), F.lit(3)))
@@ -38,7 +43,7 @@ def runs(spark, sf_dir):
     scored = scores.ageing_factor_life(scores.health_index(summary))
     when = F.timestamp_seconds(F.unix_seconds(F.to_timestamp(F.lit(T0))) + F.col("run") * 3600)
     base = twin.snapshots(scored.withColumn("_at", when), F.col("_at"))
-    return base.withColumn("run", F.hour("evaluated_at"))
+    return base.withColumn("run", run_of("evaluated_at"))
 
 
 @query("str_twin_snapshot", "battery_id:s run:i twin_state:s health_index:d6 failure_likelihood:d4",
@@ -55,7 +60,7 @@ def _(spark, sf_dir):
     history = staged(runs(spark, sf_dir))
     size = twin.block_size(history, ["battery_id"])
     chunk = None if size is None else F.floor(F.unix_seconds("evaluated_at") / 86_400)
-    return twin.transitions(history, chunk=chunk, size=size).withColumn("run", F.hour("at"))
+    return twin.transitions(history, chunk=chunk, size=size).withColumn("run", run_of("at"))
 
 
 @query("str_twin_history_bounded", "battery_id:s run:i twin_state:s",

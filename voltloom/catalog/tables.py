@@ -63,3 +63,22 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     x = cycle_frame(spark, sf_dir).withColumn("flat", F.lit(1.0))
     return tables.method_availability(x, ("avg_temp", "none", "flat"))
+
+
+@query("val_shuffle_control", "cell_id:s cycle:i capacity_ah:d6",
+       f"""SELECT a.cell_id, a.cycle, b.capacity_ah FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY cycle) AS k FROM fx_cycles) a JOIN (
+            SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY {draw_sql(5, "CAST('0x' || substr(md5(cell_id),1,8) AS BIGINT)", "((CAST(cycle AS BIGINT) % 2147483647 + 2147483647))")}, cycle) AS k FROM fx_cycles) b
+          ON a.cell_id = b.cell_id AND a.k = b.k""")
+def _(spark, sf_dir):
+    return tables.shuffled_within_cells(cycle_frame(spark, sf_dir))
+
+
+@query("src_record_raw_lines", "capture_id:s n:i",
+       "SELECT cell_id AS capture_id, count(*) + 3 AS n FROM fx_telemetry GROUP BY cell_id")
+def _(spark, sf_dir):
+    from voltloom.catalog.files import folder
+    from voltloom.streaming import live
+    src, out = folder(spark, "lines"), folder(spark, "record")
+    fixtures.lines(spark, sf_dir).write.json(src)
+    live.ingest(live.lines_of(spark, src), f"{out}/raw", f"{out}/decoded", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/raw").groupBy("capture_id").agg(F.count(F.lit(1)).alias("n"))

@@ -73,3 +73,13 @@ def method_availability(frame: DataFrame, features: Sequence[str]) -> DataFrame:
         F.count("value").alias("n"), F.stddev_pop("value").alias("sd"))
     return agg.withColumn("status", F.when(F.col("n") == 0, "missing feature").when(
         F.coalesce(F.col("sd") == 0, F.lit(True)), "zero-variance feature").otherwise("available"))
+
+
+def shuffled_within_cells(frame: DataFrame, column: str = "capacity_ah", seed: int = 5) -> DataFrame:
+    """The column permuted inside each cell: the k-th row by cycle takes the k-th value in a repeatable shuffle."""
+    size = block_size(frame, ["cell_id"])
+    rows = in_cycle_order(frame.drop(column), size, "_k")
+    mixed = frame.select("cell_id", "cycle", column).withColumn("_h", draw(seed, text_number(F.col("cell_id")), F.col("cycle")))
+    chunk = None if size is None else F.floor(F.col("_h") / 2_097_152)
+    values = with_ordinal(mixed, ["cell_id"], ["_h", "cycle"], chunk, "_k").select("cell_id", "_k", column)
+    return rows.join(values, ["cell_id", "_k"]).drop("_k")
