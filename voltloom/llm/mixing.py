@@ -101,15 +101,16 @@ def fill(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
-def plan(sizes: np.ndarray, counts: np.ndarray, target: float, left: int = LEFT) -> tuple[int, np.ndarray]:
-    """(copies of all documents, how many of each size to take once more)."""
+def plan(sizes: np.ndarray, counts: np.ndarray, target: float, left: int = LEFT) -> tuple[np.ndarray, np.ndarray]:
+    """(copies of all documents of each size, how many of each size to take once more)."""
     total, more = int(sizes @ counts), np.zeros(len(sizes), np.int64)
     if not total or target <= 0:
-        return 0, more
-    copies = int(min(MOST, (target + 1e-6) // total))
-    budget = int(target + 1e-6) - copies * total
+        return more, more
+    goal = int(target + 1e-6)
+    copies = min(MOST, goal // total)
+    every, budget = np.full(len(sizes), copies), goal - copies * total
     if copies >= MOST or budget <= 0:
-        return copies, more
+        return every, more
     more = np.floor(counts * max(0.0, (budget - left) / total)).astype(np.int64)
     budget -= int(more @ sizes)
     for i in np.argsort(-sizes, kind="stable"):
@@ -119,7 +120,13 @@ def plan(sizes: np.ndarray, counts: np.ndarray, target: float, left: int = LEFT)
             extra = int(min(counts[i] - more[i], (budget - left) // sizes[i]))
             more[i] += extra
             budget -= extra * int(sizes[i])
-    return copies, more + fill(sizes, counts - more, budget)
+    last = fill(sizes, counts - more, budget)
+    if budget > int(last @ sizes) and goal <= left:
+        # A source that fits the knapsack whole may come nearer if no copy of any document is given.
+        free = fill(sizes, MOST * counts, goal)
+        if goal - int(free @ sizes) < budget - int(last @ sizes):
+            return free // counts, free % counts
+    return every, more + last
 
 
 def plans(df: DataFrame, key: str, text: str, source: str, weights: Sequence[int], share: float,
