@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voltloom.operators.ordered import (
-    exact_quantiles, lagged, near_window, running, spearman, with_ordinal,
+    _bucketed, exact_quantiles, lagged, near_window, running, spearman, value_counts, with_ordinal,
 )
 
 
@@ -65,17 +65,31 @@ def test_lag_crosses_block_borders(df):
 
 def test_quantiles_without_gathering_a_group(df, frame):
     probs = {"q05": 0.05, "q50": 0.5, "q95": 0.95}
-    out = exact_quantiles(df, ["k"], "x", probs, small=0).toPandas().set_index("k")
+    out = exact_quantiles(df, ["k"], "x", probs).toPandas().set_index("k")
     for k, g in frame.groupby("k"):
         for name, p in probs.items():
             assert out.loc[k, name] == pytest.approx(np.quantile(g["x"], p))
-    one = exact_quantiles(df, [], "y", {"m": 0.5}, small=0).first()["m"]
+    one = exact_quantiles(df, [], "y", {"m": 0.5}).first()["m"]
     assert one == pytest.approx(frame["y"].median())
 
 
-def test_spearman_both_ways(df, frame):
-    for small in (0, 10_000):
-        out = {r["k"]: r["rho"] for r in spearman(df, ["k"], "x", "y", small=small).collect()}
-        for k in ("hot", "a"):
-            g = frame[frame["k"] == k].dropna()
-            assert out[k] == pytest.approx(g["x"].rank().corr(g["y"].rank()))
+def test_spearman(df, frame):
+    out = {r["k"]: r["rho"] for r in spearman(df, ["k"], "x", "y").collect()}
+    for k in ("hot", "a"):
+        g = frame[frame["k"] == k].dropna()
+        assert out[k] == pytest.approx(g["x"].rank().corr(g["y"].rank()))
+
+
+def test_quantiles_keep_keys_without_values_and_take_outliers(spark):
+    rows = [("a", float(i)) for i in range(5000)] + [("a", 1e12), ("b", None), ("c", 7.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    out = {r["k"]: r["m"] for r in exact_quantiles(df, ["k"], "x", {"m": 0.5}).collect()}
+    assert out == {"a": 2500.0, "b": None, "c": 7.0}
+    assert exact_quantiles(df.where("k = 'b'"), [], "x", {"m": 0.5}).first()["m"] is None
+
+
+def test_buckets_hold_equal_counts_beside_an_outlier(spark):
+    rows = [("a", float(i)) for i in range(20_000)] + [("a", 1e12)]
+    counts = value_counts(spark.createDataFrame(rows, "k string, x double"), ["k"], "x")
+    largest = _bucketed(counts, ["k"]).groupBy("_bucket").count().agg({"count": "max"}).first()[0]
+    assert largest < 100

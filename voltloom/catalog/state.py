@@ -58,7 +58,7 @@ def _(spark, sf_dir):
           WHERE was IS DISTINCT FROM twin_state""")
 def _(spark, sf_dir):
     history = staged(runs(spark, sf_dir))
-    size = twin.block_size(history, ["battery_id"])
+    size = twin.BLOCK_ROWS
     chunk = None if size is None else F.floor(F.unix_seconds("evaluated_at") / 86_400)
     return twin.transitions(history, chunk=chunk, size=size).withColumn("run", run_of("at"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltloom.operators.ordered import (
-    block_size, exact_quantiles, lagged, near_window, running, spearman, with_ordinal,
+    BLOCK_ROWS, exact_quantiles, lagged, near_window, running, spearman, with_ordinal,
 )
 from voltloom.session import staged
 
@@ -42,7 +42,7 @@ def screen_cells(frame: DataFrame) -> DataFrame:
 
     The first rule that fails gives the reason. The trend is reported, not judged.
     """
-    size = block_size(frame, CELL)
+    size = BLOCK_ROWS
     rows = staged(in_cycle_order(frame.where("capacity_ah IS NOT NULL AND cycle IS NOT NULL")
                                  .select("cell_id", "cycle", "capacity_ah"), size))
     basic = rows.groupBy("cell_id").agg(
@@ -94,7 +94,7 @@ def add_targets(frame: DataFrame, horizons: tuple[int, ...] = HORIZONS, screen:
         "soh": F.when(F.col("_raw") <= SOH_UPPER, F.col("_raw")),
         "soh_outlier": F.coalesce(F.col("_raw") > SOH_UPPER, F.lit(False)),
     }).withColumn("cumulative_fade", 1.0 - F.col("soh")).drop("_raw", "admissible")
-    size = block_size(frame, CELL)
+    size = BLOCK_ROWS
     ahead = near_window(in_cycle_order(out, size), CELL, "pos", {
         f"_f{h}": (F.lead("cumulative_fade", h), None, None) for h in horizons},
         after=max(horizons), size=size)
@@ -113,7 +113,7 @@ class Readings:
 
 def soh_readings(frame: DataFrame) -> Readings:
     keep = [c for c in ("cell_id", "cohort", "cycle", "soh") if c in frame.columns]
-    size = block_size(frame, CELL)
+    size = BLOCK_ROWS
     return Readings(staged(in_cycle_order(frame.select(*keep).where("soh IS NOT NULL"), size)), size)
 
 
@@ -285,7 +285,7 @@ def trailing_features(frame: DataFrame, columns: tuple[str, ...], rows: int = 5,
         exprs[f"trailing_{c}"] = (F.avg(c), -rows, -1)
         exprs[f"_n_{c}"] = (F.count(c), -rows, -1)
     exprs["_was"] = (F.lag("capacity_ah", 1), None, None)
-    size = block_size(frame, CELL)
+    size = BLOCK_ROWS
     out = near_window(in_cycle_order(frame, size), CELL, "pos", exprs, before=rows, size=size)
     return out.withColumns({
         **{f"trailing_{c}": F.when(F.col(f"_n_{c}") >= least, F.col(f"trailing_{c}")) for c in columns},

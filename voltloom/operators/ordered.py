@@ -4,8 +4,7 @@ A fleet table is skewed: one battery can hold a third of all samples. A plain
 ``Window.partitionBy(cell).orderBy(t)`` sends that battery to one task. The
 helpers here cut every series into chunks, work inside (key, chunk), and carry
 what crosses a border through a table with one row per chunk. Results are the
-same as those of the plain window, which is used only where a count of the
-rows per key has shown that every key is small (``block_size``).
+same as those of the plain window, whatever the number of rows of a key.
 """
 
 from __future__ import annotations
@@ -16,23 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 65_536
-VALUE_BUCKETS = 1024
-# A key with at most this many rows may be handled inside one task.
-SMALL_GROUP_ROWS = 500_000
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest key: one partial count per key, reduced to one number."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
-
-
-def block_size(df: DataFrame, keys: Sequence[str], limit: int = SMALL_GROUP_ROWS) -> int | None:
-    """None where every key is small enough for a plain window, else the block length.
-
-    Runs a count; give a stored or staged table.
-    """
-    return None if largest_group(df, keys) <= limit else BLOCK_ROWS
+# Value buckets per key: two to this power.
+BUCKET_BITS = 10
 
 
 def _before(keys: Sequence[str], order: str):
@@ -194,17 +178,24 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str | Column) -> Dat
 
 
 def _bucketed(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts with a value bucket per key, and the rows below each bucket."""
+    """Counts with a value bucket per key, and the rows below each bucket.
+
+    The borders are approximate quantiles of the key's distinct values, so the
+    buckets hold about equally many of them, however the values are spread; a
+    binary search, one column for each of its steps, finds a value's bucket.
+    """
     lone = keys or ["_all"]
     if not keys:
         counts = counts.withColumn("_all", F.lit(0))
-    span = counts.groupBy(*lone).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(VALUE_BUCKETS))
-    placed = counts.join(span, lone).withColumn(
-        "_bucket",
-        F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
-            F.least(F.floor(F.try_divide(F.col("v") - F.col("_lo"), width)),
-                    F.lit(VALUE_BUCKETS - 1)))).drop("_lo", "_hi")
+    buckets = 1 << BUCKET_BITS
+    shares = [i / buckets for i in range(1, buckets)]
+    borders = counts.groupBy(*lone).agg(F.percentile_approx("v", shares, 20 * buckets).alias("_borders"))
+    placed = counts.join(borders, lone).withColumn("_bucket", F.lit(0))
+    for bit in range(BUCKET_BITS - 1, -1, -1):
+        ahead = F.col("_bucket") + F.lit(1 << bit)
+        placed = placed.withColumn(
+            "_bucket", F.when(F.element_at("_borders", ahead) < F.col("v"), ahead).otherwise(F.col("_bucket")))
+    placed = placed.drop("_borders")
     sizes = placed.groupBy(*lone, "_bucket").agg(F.sum("n").alias("_bn"))
     w = Window.partitionBy(*lone)
     starts = sizes.select(
@@ -233,20 +224,15 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str | Column,
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
-                    probs: Mapping[str, float], small: int = SMALL_GROUP_ROWS) -> DataFrame:
+                    probs: Mapping[str, float]) -> DataFrame:
     """Linearly interpolated quantiles per key, exact at any group size.
 
-    Where a count shows that no group has more than ``small`` rows, the
-    built-in exact percentile is used. A larger group is never gathered: equal
-    values are counted, the counts are laid out in value buckets, and only the
-    one or two order statistics that a quantile needs are picked out.
+    A group is never gathered: equal values are counted, the counts are laid
+    out in value buckets, and only the one or two order statistics that a
+    quantile needs are picked out. A key without any value gets NULLs.
     """
     keys = list(keys)
-    if largest_group(df, keys) <= small:
-        v = F.col(value) if isinstance(value, str) else value
-        return df.groupBy(*keys).agg(*[F.percentile(v.cast("double"), p).alias(n) for n, p in probs.items()])
     ranked = _bucketed(value_counts(df, keys, value), keys)
-    lone = keys or ["_all"]
     last = F.col("_below") + F.col("n")
     aggs = []
     for name, p in probs.items():
@@ -257,18 +243,17 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
             F.max(F.when((F.col("_below") < hi) & (hi <= last), F.col("v"))).alias(f"_b_{name}"),
             F.max(at - F.floor(at)).alias(f"_f_{name}"),
         ]
-    picked = ranked.groupBy(*lone).agg(*aggs)
-    return picked.select(*keys, *[
+    picked = ranked.groupBy(*keys).agg(*aggs).select(*keys, *[
         (F.col(f"_a_{n}") + (F.col(f"_b_{n}") - F.col(f"_a_{n}")) * F.col(f"_f_{n}")).alias(n)
         for n in probs])
+    return df.select(*keys).distinct().join(picked, keys, "left") if keys else picked
 
 
-def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str,
-             small: int = SMALL_GROUP_ROWS) -> DataFrame:
+def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks per key: (keys, n, rho).
 
-    Equal pairs collapse first. Small keys are ranked by a window; for large
-    ones the ranks of the distinct values are joined to the distinct pairs.
+    Equal pairs collapse first; the ranks of the distinct values are joined to
+    the distinct pairs.
     """
     keys = list(keys)
     pairs = (
@@ -276,19 +261,9 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str,
         .where("_x IS NOT NULL AND _y IS NOT NULL")
         .groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
     )
-    if largest_group(df, keys) <= small:
-        def rank(c: str) -> Column:
-            upto = Window.partitionBy(*keys).orderBy(c).rangeBetween(
-                Window.unboundedPreceding, Window.currentRow)
-            ties = F.sum("_w").over(Window.partitionBy(*keys, c))
-            return F.sum("_w").over(upto) - (ties - 1) / F.lit(2.0)
-        ranked = pairs.withColumns({"_rx": rank("_x"), "_ry": rank("_y")})
-    else:
-        rx = average_ranks(pairs, keys, "_x", "_w").select(
-            *keys, F.col("v").alias("_x"), F.col("avg_rank").alias("_rx"))
-        ry = average_ranks(pairs, keys, "_y", "_w").select(
-            *keys, F.col("v").alias("_y"), F.col("avg_rank").alias("_ry"))
-        ranked = pairs.join(rx, [*keys, "_x"]).join(ry, [*keys, "_y"])
+    rx = average_ranks(pairs, keys, "_x", "_w").select(*keys, F.col("v").alias("_x"), F.col("avg_rank").alias("_rx"))
+    ry = average_ranks(pairs, keys, "_y", "_w").select(*keys, F.col("v").alias("_y"), F.col("avg_rank").alias("_ry"))
+    ranked = pairs.join(rx, [*keys, "_x"]).join(ry, [*keys, "_y"])
     w, a, b = F.col("_w"), F.col("_rx"), F.col("_ry")
     sums = ranked.groupBy(*keys).agg(
         F.sum(w).alias("n"), F.sum(w * a).alias("_sa"), F.sum(w * b).alias("_sb"),

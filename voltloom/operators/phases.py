@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltloom.operators.ordered import block_size, near_window, running, running_total
+from voltloom.operators.ordered import BLOCK_ROWS, near_window, running, running_total
 from voltloom.session import staged
 
 REST_BELOW_A = 0.5
@@ -156,7 +156,7 @@ def _kept_label(min_samples: int) -> Column:
 def segment(log: Log, limit: int | None = None) -> Phases:
     """Runs shorter than ``min_samples`` take the label before them, then equal labels merge."""
     stored = staged(partial_runs(log))
-    size = block_size(stored, CELL) if limit is None else limit
+    size = BLOCK_ROWS if limit is None else limit
     runs = numbered_runs(stored)
     volts = "raw1" in runs.columns
     reach = log.min_samples - 1

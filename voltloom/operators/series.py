@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltloom.operators.ordered import block_size, exact_quantiles, lagged, running, with_ordinal
+from voltloom.operators.ordered import BLOCK_ROWS, exact_quantiles, lagged, running, with_ordinal
 from voltloom.session import staged
 
 
@@ -18,19 +18,19 @@ def stitched_time(df: DataFrame, keys: Sequence[str], ordinal: str, time: str =
     median of the positive steps of the key.
     """
     keys = list(keys)
-    rows = staged(lagged(df, keys, ordinal, {"_was": time}, size=block_size(df, keys)))
+    rows = staged(lagged(df, keys, ordinal, {"_was": time}, size=BLOCK_ROWS))
     step = F.col(time) - F.col("_was")
     typical = exact_quantiles(rows.withColumn("_step", F.when(step > 0, step)), keys, "_step", {"_typical": 0.5})
     joined = rows.join(typical, keys, "left")
     jump = F.when(step < 0, F.coalesce("_typical", F.lit(1.0)) - step).otherwise(F.lit(0.0))
-    shifted = running(joined, keys, ordinal, sums={"_offset": jump}, size=block_size(rows, keys))
+    shifted = running(joined, keys, ordinal, sums={"_offset": jump}, size=BLOCK_ROWS)
     return shifted.withColumn("time_s", F.col(time) + F.col("_offset")).drop("_was", "_typical", "_offset")
 
 
 def segment_time(df: DataFrame, keys: Sequence[str], ordinal: str, time: str = "test_time_s") -> DataFrame:
     """Whole-life variant: per restart segment, time since its start after the earlier spans."""
     keys = list(keys)
-    size = block_size(df, keys)
+    size = BLOCK_ROWS
     rows = lagged(df, keys, ordinal, {"_was": time}, size=size)
     cut = running(rows, keys, ordinal, sums={
         "segment": F.when(F.col(time) < F.col("_was"), 1).otherwise(0)}, size=size).drop("_was")
@@ -83,15 +83,18 @@ def interval_cycles(telemetry: DataFrame, cycles: DataFrame, chunk_s: float) ->
     """Each row gets the cycle whose [start, end] contains it; rows in none are dropped.
 
     Intervals are spread over the time chunks they touch, so the join key is
-    (cell, chunk). Of overlapping cycles the later one wins.
+    (cell, chunk). Of overlapping cycles the later one wins. Equal rows are
+    counted before the join and given back as often as they came.
     """
     spread = cycles.withColumn("_chunk", F.explode(F.sequence(
         F.floor(F.col("start_time_s") / chunk_s), F.floor(F.col("end_time_s") / chunk_s))))
     cells = spread.select("cell_id", "_chunk", "cycle", "start_time_s", "end_time_s")
-    rows = telemetry.withColumn("_chunk", F.floor(F.col("test_time_s") / chunk_s))
-    hit = rows.join(cells, ["cell_id", "_chunk"]).where("test_time_s BETWEEN start_time_s AND end_time_s")
     own = [c for c in telemetry.columns if c != "cycle"]
-    return hit.groupBy(*own).agg(F.max("cycle").alias("cycle"))
+    rows = telemetry.groupBy(*own).agg(F.count(F.lit(1)).cast("int").alias("_copies")).withColumn(
+        "_chunk", F.floor(F.col("test_time_s") / chunk_s))
+    hit = rows.join(cells, ["cell_id", "_chunk"]).where("test_time_s BETWEEN start_time_s AND end_time_s")
+    return hit.groupBy(*own, "_copies").agg(F.max("cycle").alias("cycle")).withColumn(
+        "_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
 
 
 def nearest_value(left: DataFrame, right: DataFrame, value: str, chunk_s: float, time: str = "test_time_s") -> DataFrame:

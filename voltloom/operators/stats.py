@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voltloom.functions.numbers import draw, solve_normal, text_number
 from voltloom.operators.life import in_cycle_order
 from voltloom.operators.ordered import (
-    average_ranks, block_size, exact_quantiles, near_window, spearman, with_ordinal,
+    average_ranks, BLOCK_ROWS, exact_quantiles, near_window, spearman, with_ordinal,
 )
 
 KELVIN, GAS = 273.15, 8.314462618   # fixed values: offset of Celsius, J/(mol K)
@@ -144,7 +144,7 @@ def thermal_correction(frame: DataFrame, ambient: str = "ambient_temperature_c",
     out = frame.join(base, ambient, "left").withColumn(
         "soh_corrected", F.col("soh") / F.col("thermal_offset")).withColumn(
         "cumulative_fade_corrected", 1.0 - F.col("soh_corrected"))
-    size = block_size(frame, ["cell_id"])
+    size = BLOCK_ROWS
     ahead = near_window(in_cycle_order(out, size), ["cell_id"], "pos", {
         f"_f{h}": (F.lead("cumulative_fade_corrected", h), None, None) for h in horizons},
         after=max(horizons), size=size)

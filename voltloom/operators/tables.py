@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from voltloom.functions.numbers import draw, text_number
 from voltloom.operators.curves import first_rows
 from voltloom.operators.life import in_cycle_order
-from voltloom.operators.ordered import block_size, near_window, with_ordinal
+from voltloom.operators.ordered import BLOCK_ROWS, near_window, with_ordinal
 
 
 def summarize_cycler_cycles(log: DataFrame, counter: str = "discharge_capacity_ah") -> DataFrame:
@@ -57,7 +57,7 @@ def union_runs(frames: Sequence[DataFrame]) -> DataFrame:
 
 def sequence_windows(frame: DataFrame, features: Sequence[str], rows: int = 10) -> DataFrame:
     """The last ``rows`` feature rows of every row, the first one repeated in front; n_pad says how many."""
-    size = block_size(frame, ["cell_id"])
+    size = BLOCK_ROWS
     point = F.array(*[F.col(f).cast("double") for f in features])
     out = near_window(in_cycle_order(frame, size), ["cell_id"], "pos", {
         "_w": (F.collect_list(point), -(rows - 1), 0)}, before=rows - 1, size=size)
@@ -77,7 +77,7 @@ def method_availability(frame: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def shuffled_within_cells(frame: DataFrame, column: str = "capacity_ah", seed: int = 5) -> DataFrame:
     """The column permuted inside each cell: the k-th row by cycle takes the k-th value in a repeatable shuffle."""
-    size = block_size(frame, ["cell_id"])
+    size = BLOCK_ROWS
     rows = in_cycle_order(frame.drop(column), size, "_k")
     mixed = frame.select("cell_id", "cycle", column).withColumn("_h", draw(seed, text_number(F.col("cell_id")), F.col("cycle")))
     chunk = None if size is None else F.floor(F.col("_h") / 2_097_152)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltloom.operators.ordered import block_size, lagged, with_ordinal
+from voltloom.operators.ordered import BLOCK_ROWS, lagged, with_ordinal
 from voltloom.operators.scores import lookup
 
 # Twin state by battery state.
@@ -74,11 +74,14 @@ def live_tail(samples: DataFrame, n: int, dead_band_a: float = 0.5) -> DataFrame
 
 
 def piece_keys(pieces: DataFrame) -> DataFrame:
-    """(battery_id, piece_id, content_key): what a piece holds, whatever its name."""
+    """(battery_id, piece_id, content_key): what a piece holds, whatever its name.
+
+    Sums are of decimals, so that the order of the rows cannot change a digit.
+    """
     parts = [F.count(F.lit(1)).cast("string")]
     for c in ("test_time_s", "current_a", "voltage_v"):
         parts += [F.format_string("%.6g", F.min(c)), F.format_string("%.6g", F.max(c)),
-                  F.format_string("%.8g", F.sum(c))]
+                  F.sum(F.col(c).cast("decimal(28,6)")).cast("string")]
     return pieces.groupBy("battery_id", "piece_id").agg(
         F.sha1(F.concat_ws("|", *parts)).alias("content_key"))
 

@@ -50,12 +50,18 @@ def single_run(spark: SparkSession, path: str) -> DataFrame:
                          .otherwise("unknown")) if "current_a" in df.columns else df
 
 
+#: Charge of a new cell where a run has no measured capacity.
+NOMINAL_AH = 2.0
+
+
 def runs_with_manifest(runs: DataFrame, manifest: DataFrame, include_charge: bool = True) -> DataFrame:
     """Run files joined to a manifest (battery_id, uid, type, filename, capacity, ambient).
 
     Discharges are numbered by uid; a charge takes the next discharge's number;
-    rows after the last discharge are dropped. The manifest has one row per run
-    file, so its window is small; the samples are summed inside their own run.
+    rows after the last discharge are dropped. A discharge without a positive
+    capacity is measured against the nominal one and reports no capacity_ah.
+    The manifest has one row per run file, so its window is small; the samples
+    are summed inside their own run.
     """
     kinds = ["charge", "discharge"] if include_charge else ["discharge"]
     w = Window.partitionBy("battery_id").orderBy("uid")
@@ -71,12 +77,13 @@ def runs_with_manifest(runs: DataFrame, manifest: DataFrame, include_charge: boo
     used = F.sum(F.coalesce(F.abs(i) * dt, F.lit(0.0)) / 3600.0).over(
         own.rowsBetween(Window.unboundedPreceding, 0))
     last = F.row_number().over(Window.partitionBy("filename").orderBy(F.desc("test_time_s"), F.desc("seq"))) == 1
-    drained = 100 * (1 - F.try_divide(F.col("_used"), F.col("capacity")))
-    filled = 100 * F.col("_used") / 2.0
+    measured = F.col("capacity") > 0
+    drained = 100 * (1 - F.col("_used") / F.when(measured, F.col("capacity")).otherwise(NOMINAL_AH))
+    filled = 100 * F.col("_used") / NOMINAL_AH
     is_dis = F.col("type") == "discharge"
     return rows.withColumns({"_used": used, "_last": last}).withColumns({
         "soc": F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.when(is_dis, drained).otherwise(filled))),
-        "capacity_ah": F.when(is_dis & F.col("_last"), F.col("capacity")),
+        "capacity_ah": F.when(is_dis & F.col("_last") & measured, F.col("capacity")),
     }).withColumnRenamed("battery_id", "cell_id").drop("_used", "_last")
 
 
@@ -125,8 +132,9 @@ def cohort_of_path(path: Column) -> Column:
 def nested_blocks(records: DataFrame, nominal_ah: float) -> DataFrame:
     """cell → cycle → block{t,v,q,temp} records as long rows.
 
-    Blocks with unequal array lengths are listed with ``missing`` set. The
-    charge unit is told from the largest |q| against the nominal capacity.
+    Blocks with unequal array lengths are left out. The charge unit is told for
+    each cell from its largest |q| against the nominal capacity; where neither
+    Ah nor mAh fits, q stays as it is and ``unit`` says so.
     """
     blocks = records.select("cell_id", "cycle", F.explode("blocks").alias("measurement", "b"))
     even = (F.size("b.t") == F.size("b.v")) & (F.size("b.v") == F.size("b.q")) & (F.size("b.q") == F.size("b.temp"))
@@ -134,10 +142,11 @@ def nested_blocks(records: DataFrame, nominal_ah: float) -> DataFrame:
     rows = flat.where("NOT missing").select("cell_id", "cycle", "measurement", F.inline(F.arrays_zip(
         F.col("b.t").alias("test_time_s"), F.col("b.v").alias("voltage_v"), F.col("b.q").alias("q"),
         F.col("b.temp").alias("temperature_c"))))
-    top = rows.agg(F.max(F.abs("q"))).scalar()
-    share = top / F.lit(nominal_ah)
-    scale = F.when(share.between(0.2, 5.0), 1.0).when((share / 1000.0).between(0.2, 5.0), 0.001)
-    return rows.withColumn("capacity_ah_curve", F.abs("q") * scale).drop("q")
+    share = F.max(F.abs("q")) / F.lit(nominal_ah)
+    unit = F.when(share.between(0.2, 5.0), "Ah").when((share / 1000.0).between(0.2, 5.0), "mAh").otherwise("unknown")
+    units = rows.groupBy("cell_id").agg(unit.alias("unit"))
+    scale = F.when(F.col("unit") == "mAh", 0.001).otherwise(1.0)
+    return rows.join(units, "cell_id").withColumn("capacity_ah_curve", F.abs("q") * scale).drop("q")
 
 
 def discharge_records(records: DataFrame, load_a: float = 0.05, least: int = 5) -> DataFrame:
