@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 65_536
 # Value buckets per key: two to this power.
-BUCKET_BITS = 10
+BUCKET_BITS = 8
 
 
 def _before(keys: Sequence[str], order: str):
@@ -189,7 +189,7 @@ def _bucketed(counts: DataFrame, keys: list[str]) -> DataFrame:
         counts = counts.withColumn("_all", F.lit(0))
     buckets = 1 << BUCKET_BITS
     shares = [i / buckets for i in range(1, buckets)]
-    borders = counts.groupBy(*lone).agg(F.percentile_approx("v", shares, 20 * buckets).alias("_borders"))
+    borders = counts.groupBy(*lone).agg(F.percentile_approx("v", shares, 10 * buckets).alias("_borders"))
     placed = counts.join(borders, lone).withColumn("_bucket", F.lit(0))
     for bit in range(BUCKET_BITS - 1, -1, -1):
         ahead = F.col("_bucket") + F.lit(1 << bit)
