@@ -1,6 +1,6 @@
 """All registered queries and their SQL twins."""
 
-from voltloom.catalog import analysis, device, evaluation, files, fleet, health, life, sequence, state, tables  # noqa: F401
+from voltloom.catalog import analysis, answers, device, evaluation, files, fleet, health, life, sequence, state, tables  # noqa: F401
 from voltloom.catalog.base import CATALOG
 
 __all__ = ["CATALOG"]

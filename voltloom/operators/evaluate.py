@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltloom.functions.numbers import draw, solve_normal, text_number
 from voltloom.operators.ordered import exact_quantiles, spearman, with_ordinal
+from voltloom.session import staged
 
 MIN_TEST_ROWS = 10
 MIN_TRAIN_COHORTS = 2
@@ -229,3 +230,23 @@ def bootstrap_median_ci(values: DataFrame, keys: Sequence[str], value: str, orde
     tail = (1.0 - confidence) / 2.0
     ci = exact_quantiles(medians, keys, "_m", {"ci_low": tail, "ci_high": 1.0 - tail})
     return sizes.join(ci, keys, "left")
+
+
+def ranked_results(gate: DataFrame, ceiling: DataFrame | None = None) -> DataFrame:
+    """Results numbered by status, then by falling LOCO R², empty ones last; one row per model.
+
+    ``ceiling`` is the one-row signal fraction of the target, which no R² can pass.
+    """
+    order = Window.orderBy("status", F.desc_nulls_last(F.round("loco_median_r2", 9)), "model")  # a row per model
+    out = gate.withColumn("place", F.row_number().over(order))
+    return out if ceiling is None else out.withColumn("r2_ceiling", ceiling.select("signal_fraction").scalar())
+
+
+def study_gate(rows: DataFrame, models: Sequence[Linear], target: str) -> DataFrame:
+    """The promotion gate of each model from leave-one-battery-out and leave-one-cohort-out folds."""
+    folds = None
+    for model in models:
+        for group, split in (("cell_id", "LOBO"), ("cohort", "LOCO")):
+            more = cross_validate(rows, model, target, group, split, AGE_LINEAR)
+            folds = more if folds is None else folds.unionByName(more)
+    return promotion_gate(staged(cv_summary(staged(folds))))

@@ -154,3 +154,53 @@ def with_rul_band(df: DataFrame, predicted: str = "rul_pred") -> DataFrame:
         F.when(b["cells"] < 5, " (few cells at this range)").otherwise(""), F.lit("."))
     return out.withColumns({"band_low": low, "band_high": high, "band_text": text}).drop("_band")
 
+
+
+def sibling_fit(train: DataFrame) -> DataFrame:
+    """One row (a, b, q10, median_life, q10_life, n): log life on log early rate over cells that crossed.
+
+    q10 is taken over leave-one-cell-out residuals; for a line these are the
+    plain residuals over one minus the leverage, so nothing is refitted.
+    """
+    crossed = train.where("crossed AND life > 0")
+    logs = crossed.where("early_rate > 0").select(
+        F.ln("early_rate").alias("x"), F.ln("life").alias("y"))
+    line = logs.agg(F.struct(
+        F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), F.avg("x").alias("mx"),
+        (F.var_pop("x") * F.count(F.lit(1))).alias("sxx"), F.count(F.lit(1)).alias("n"))).scalar()
+    placed = logs.withColumn("_f", line)
+    share = 1.0 / F.col("_f.n") + F.try_divide(F.pow(F.col("x") - F.col("_f.mx"), F.lit(2.0)), F.col("_f.sxx"))
+    left_out = placed.select("_f", F.try_divide(
+        F.col("y") - F.col("_f.a") - F.col("_f.b") * F.col("x"), 1.0 - share).alias("_e"))
+    low = exact_quantiles(left_out, [], "_e", {"q10": 0.1}).select("q10").scalar()
+    lives = exact_quantiles(crossed, [], "life", {"median_life": 0.5, "q10_life": 0.1})
+    return lives.select("median_life", "q10_life").withColumn("_f", line).withColumn("q10", low).select(
+        F.col("_f.a").alias("a"), F.col("_f.b").alias("b"), "q10", "median_life", "q10_life", F.col("_f.n").alias("n"))
+
+
+def sibling_lives(train: DataFrame, test: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """Test cells with three predictions: the siblings' median, own early rate kept up, and the fit with its bound."""
+    fit = sibling_fit(train).select(F.struct("a", "b", "q10", "median_life", "q10_life")).scalar()
+    rate = F.when(F.col("early_rate") > 0, F.col("early_rate"))
+    own = F.exp(F.col("_f.a") + F.col("_f.b") * F.ln(rate))
+    return test.withColumn("_f", fit).withColumns({
+        "sibling_median": F.col("_f.median_life"), "sibling_bound": F.col("_f.q10_life"),
+        "own_rate": (1.0 - threshold) / rate, "fitted": own, "fitted_bound": own * F.exp("_f.q10")}).drop("_f")
+
+
+def sibling_scores(lives: DataFrame) -> DataFrame:
+    """Median relative errors on cells that crossed, and how often the bound holds.
+
+    A cell that never crossed counts for the bound only if it outlived it.
+    """
+    off = {c: F.when(F.col("crossed"), F.abs(F.col(c) - F.col("life")) / F.col("life")) for c in
+           ("sibling_median", "own_rate", "fitted")}
+    held = F.when(F.col("crossed"), F.col("life") >= F.col("fitted_bound")).when(
+        F.col("life") >= F.col("fitted_bound"), F.lit(True))
+    rows = lives.select("crossed", held.cast("double").alias("_held"), *[v.alias(f"_{c}") for c, v in off.items()])
+    out = rows.agg(F.count(F.lit(1)).alias("n_cells"), F.count_if("crossed").alias("n_crossed"),
+                   F.avg("_held").alias("bound_coverage"))
+    for c in off:
+        middle = exact_quantiles(rows, [], f"_{c}", {"m": 0.5}).select("m").scalar()
+        out = out.withColumn(f"{c}_error", middle)
+    return out

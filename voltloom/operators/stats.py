@@ -12,6 +12,7 @@ from voltloom.operators.life import in_cycle_order
 from voltloom.operators.ordered import (
     average_ranks, BLOCK_ROWS, exact_quantiles, near_window, spearman, with_ordinal,
 )
+from voltloom.session import staged
 
 KELVIN, GAS = 273.15, 8.314462618   # fixed values: offset of Celsius, J/(mol K)
 EARLY_CYCLES = 20
@@ -218,3 +219,30 @@ def kmeans_segments(frame: DataFrame, features: Sequence[str], k: int, seed: int
         KMeans(k=k, seed=seed, featuresCol="_scaled", predictionCol="cluster")])
     out = pipe.fit(doubles).transform(doubles)
     return out.drop("_raw", "_scaled", *filled, *[f"_d_{f}" for f in features])
+
+
+def partial_rank_correlation(frame: DataFrame, x: str, y: str, control: str, least: int = 6) -> DataFrame:
+    """(n, rho, rho_y_vs_control): rank correlation of x and y without what their ranks owe to the control's.
+
+    Under six rows, or with one value of the control, there is no answer. The
+    frame has one row per study or battery.
+    """
+    rows = frame.select(*(F.col(c).cast("double").alias(a) for c, a in ((x, "_x"), (y, "_y"), (control, "_z")))).where(
+        "_x IS NOT NULL AND _y IS NOT NULL AND _z IS NOT NULL")
+    ranked = rows
+    for c in ("_x", "_y", "_z"):
+        ranks = average_ranks(rows, [], c).select(F.col("v").alias(c), F.col("avg_rank").alias(f"_r{c}"))
+        ranked = ranked.join(ranks, c)
+    ranked = staged(ranked)
+    a, b, z = F.col("_r_x"), F.col("_r_y"), F.col("_r_z")
+    line = ranked.agg(F.struct(*(f(v, z).alias(n) for v, n, f in (
+        (a, "ma", F.regr_slope), (a, "ca", F.regr_intercept), (b, "mb", F.regr_slope), (b, "cb", F.regr_intercept)))).alias("l"))
+    # Rounded, so that equal pairs of ranks stay equal.
+    left = ranked.withColumn("_l", line.scalar()).select(
+        F.round(a - F.col("_l.ca") - F.col("_l.ma") * z, 8).alias("_a"),
+        F.round(b - F.col("_l.cb") - F.col("_l.mb") * z, 8).alias("_b"))
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_z").alias("_levels"))
+    enough = (F.col("n") >= least) & (F.col("_levels") >= 2)
+    return whole.select(
+        "n", F.when(enough, spearman(left, [], "_a", "_b").select("rho").scalar()).alias("rho"),
+        F.when(enough, spearman(rows, [], "_z", "_y").select("rho").scalar()).alias("rho_y_vs_control"))
