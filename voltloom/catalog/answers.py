@@ -398,11 +398,9 @@ def _(spark, sf_dir):
 
 
 VIEWS.update(fold_views("vb", "v_rows", "cumulative_fade", "cycle", "cell_id"))
-VIEWS.update(fold_views("vc", "v_rows", "cumulative_fade", "avg_soc", "cell_id"))
-VIEWS.update(fold_views("vd", "v_rows", "cumulative_fade", "avg_soc", "cohort"))
 VIEWS["bs_summary"] = " UNION ALL ".join(
     ["SELECT * FROM v_summary"] + [SUMMARY_SQL.format(s=s, v=v).replace("'temp'", f"'{m}'") for m, s, v in (
-        ("soc", "LOBO", "vc"), ("soc", "LOCO", "vd"), ("age_linear", "LOBO", "vb"), ("age_linear", "LOCO", "va"))])
+        ("age_linear", "LOBO", "vb"), ("age_linear", "LOCO", "va"))])
 VIEWS["bs_ranked"] = """
 SELECT *, row_number() OVER (ORDER BY status, round(loco_median_r2, 9) DESC NULLS LAST, model) AS place FROM (
   SELECT a.model, CASE WHEN a.median_r2_vs_global_mean > 0 AND b.median_r2_vs_global_mean > 0
@@ -410,7 +408,7 @@ SELECT *, row_number() OVER (ORDER BY status, round(loco_median_r2, 9) DESC NULL
     AND b.median_r2_vs_confound_baseline > 0 THEN 'PROMOTE' ELSE 'REJECT' END AS status,
     a.median_r2_vs_global_mean AS lobo_median_r2, b.median_r2_vs_global_mean AS loco_median_r2
   FROM bs_summary a JOIN bs_summary b ON a.model = b.model WHERE a.split = 'LOBO' AND b.split = 'LOCO') g"""
-MODELS = (TEMP, evaluate.ols("soc", ["avg_soc"]), evaluate.AGE_LINEAR)
+MODELS = (TEMP, evaluate.AGE_LINEAR)
 
 
 @query("srt_result_ranking", "place:i model:s status:s loco_median_r2:d4", "SELECT * FROM bs_ranked")

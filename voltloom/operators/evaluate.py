@@ -247,6 +247,6 @@ def study_gate(rows: DataFrame, models: Sequence[Linear], target: str) -> DataFr
     folds = None
     for model in models:
         for group, split in (("cell_id", "LOBO"), ("cohort", "LOCO")):
-            more = cross_validate(rows, model, target, group, split, AGE_LINEAR)
+            more = staged(cross_validate(rows, model, target, group, split, AGE_LINEAR))  # a row per fold
             folds = more if folds is None else folds.unionByName(more)
-    return promotion_gate(staged(cv_summary(staged(folds))))
+    return promotion_gate(staged(cv_summary(folds)))
