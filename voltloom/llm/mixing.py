@@ -12,7 +12,8 @@ Scale. A source has fewer than sqrt(2 x its words) distinct lengths, so its
 plan fits one task whatever the number of its documents. Which documents of a
 length are taken follows from one hash limit per (source, length): it is
 found by counting hash ranges, and only the range in which the limit lies is
-ranked. No source and no length goes to one task.
+ranked. No source and no length goes to one task: where documents meet their
+plan, a length is dealt out in 64 parts by that hash.
 
 Defined results: a null or blank text has size 0 and is taken 0 words. The
 null source is a source, the last one. Rows with the same key, source and
@@ -35,7 +36,8 @@ from voltloom.llm.base import staged
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, 20_24
 #: Words of a budget that are left to the knapsack.
 LEFT = 1 << 15
-RANGES = 4096
+#: Documents of one (source, length) are joined with its plan in so many parts, as a power of two.
+SALT_BITS = 6
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -153,7 +155,8 @@ def plans(df: DataFrame, key: str, text: str, source: str, weights: Sequence[int
     # Counts by hash range, then the range in which the wanted number is reached, then the limit inside it.
     on = ["source", "size"]
     partly = wanted.where("more > 0 AND more < n").select(*on, "more")
-    ranged = _null_safe(slim, partly, on).withColumn("range", F.shiftright("hash", 64 - 12))
+    ranged = (_null_safe(slim.withColumn("salt", salt_of("hash")), salted(partly), [*on, "salt"])
+              .drop("salt").withColumn("range", F.shiftright("hash", 64 - 12)))
     counts = ranged.groupBy(*on, "range", "more").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy(*on).orderBy("range")) - F.col("n")
     border = counts.withColumn("before", before).where("before < more AND before + n >= more")
@@ -181,6 +184,16 @@ def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     return left.join(named, both, how).drop(*(f"_r_{c}" for c in on))
 
 
+def salt_of(hashed: str) -> Column:
+    """The top bits of the hash; the plan's own ranges are those bits too."""
+    return F.shiftrightunsigned(hashed, 64 - SALT_BITS).cast("int")
+
+
+def salted(planned: DataFrame) -> DataFrame:
+    """Each line of the plan once for every salt, so that the documents of one length meet it in many tasks."""
+    return planned.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(1 << SALT_BITS)))))
+
+
 def seeded(key: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col(key))
 
@@ -189,7 +202,8 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
         weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
     """(key, size, source_size, target, taken): a row for each row of ``df``."""
     slim, planned = plans(df, key, text, source, weights, share, most, seed)
-    return _null_safe(slim, planned, ["source", "size"]).select(
+    rows = slim.withColumn("salt", salt_of("hash"))
+    return _null_safe(rows, salted(planned), ["source", "size", "salt"]).select(
         F.col("key").alias(key), "size", "source_size", "target",
         (F.col("size") * copies_of("hash")).alias("taken"))
 
@@ -202,12 +216,13 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
           weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mix itself: the rows of ``df``, each as often as it is taken."""
     _, planned = plans(df, key, text, source, weights, share, most, seed)
-    plan_of = planned.select(F.col("source").alias("_m_source"), F.col("size").alias("_m_size"), "copies",
-                             F.col("limit")).withColumnsRenamed({"copies": "_m_copies", "limit": "_m_limit"})
-    rows = df.withColumn("_m_words", words(text))
-    joined = rows.join(plan_of, (rows["_m_words"] == plan_of["_m_size"])
+    plan_of = salted(planned).select("source", "size", "salt", "copies", "limit")
+    plan_of = plan_of.withColumnsRenamed({c: f"_m_{c}" for c in plan_of.columns})
+    rows = df.withColumn("_m_words", words(text)).withColumn("_m_hash", seeded(key, seed))
+    rows = rows.withColumn("_m_part", salt_of("_m_hash"))
+    joined = rows.join(plan_of, (rows["_m_words"] == plan_of["_m_size"]) & (rows["_m_part"] == plan_of["_m_salt"])
                        & rows[source].cast("string").eqNullSafe(plan_of["_m_source"]))
-    extra = F.when(seeded(key, seed) <= F.col("_m_limit"), 1).otherwise(0)
+    extra = F.when(F.col("_m_hash") <= F.col("_m_limit"), 1).otherwise(0)
     times = F.when(F.col("_m_words") > 0, F.col("_m_copies") + extra).otherwise(0).cast("int")
     return (joined.withColumn("_m_time", F.explode(F.array_repeat(F.lit(1), times)))
             .select(*(F.col(f"`{c}`") for c in df.columns)))
