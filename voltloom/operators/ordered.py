@@ -182,7 +182,7 @@ def _bucketed(counts: DataFrame, keys: list[str]) -> DataFrame:
 
     The borders are approximate quantiles of the key's distinct values, so the
     buckets hold about equally many of them, however the values are spread; a
-    binary search, one column for each of its steps, finds a value's bucket.
+    binary search, folded over its step widths, finds a value's bucket.
     """
     lone = keys or ["_all"]
     if not keys:
@@ -190,12 +190,10 @@ def _bucketed(counts: DataFrame, keys: list[str]) -> DataFrame:
     buckets = 1 << BUCKET_BITS
     shares = [i / buckets for i in range(1, buckets)]
     borders = counts.groupBy(*lone).agg(F.percentile_approx("v", shares, 10 * buckets).alias("_borders"))
-    placed = counts.join(borders, lone).withColumn("_bucket", F.lit(0))
-    for bit in range(BUCKET_BITS - 1, -1, -1):
-        ahead = F.col("_bucket") + F.lit(1 << bit)
-        placed = placed.withColumn(
-            "_bucket", F.when(F.element_at("_borders", ahead) < F.col("v"), ahead).otherwise(F.col("_bucket")))
-    placed = placed.drop("_borders")
+    steps = F.array(*[F.lit(1 << bit) for bit in range(BUCKET_BITS - 1, -1, -1)])
+    bucket = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.element_at("_borders", at + step) < F.col("v"), at + step).otherwise(at))
+    placed = counts.join(borders, lone).withColumn("_bucket", bucket).drop("_borders")
     sizes = placed.groupBy(*lone, "_bucket").agg(F.sum("n").alias("_bn"))
     w = Window.partitionBy(*lone)
     starts = sizes.select(
