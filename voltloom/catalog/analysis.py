@@ -8,7 +8,7 @@ from voltloom import fixtures
 from voltloom.catalog.base import query
 from voltloom.catalog.life import cycle_frame, targets
 from voltloom.catalog.sequence import CHUNK_S, duty_log
-from voltloom.catalog.views import VIEWS
+from voltloom.catalog.views import VIEWS, draw_sql
 from voltloom.operators import life, phases, series, stats
 from voltloom.session import staged
 
@@ -75,13 +75,23 @@ def _(spark, sf_dir):
     return stats.mann_whitney(rows, "f")
 
 
-@query("sta_permutation_test", "n:i rho:d6",
-       "SELECT count(*) AS n, corr(rx, ry) AS rho FROM ("
-       + ranks_sql("(SELECT cell_id, avg(avg_stress) AS s, avg(capacity_ah) AS c FROM fx_cycles GROUP BY cell_id)", "", "s", "c") + ") r")
+VIEWS["pt_cells"] = ranks_sql(
+    "(SELECT cell_id, avg(avg_stress) AS s, avg(capacity_ah) AS c FROM fx_cycles GROUP BY cell_id)", "", "s", "c")
+VIEWS["pt_order"] = """
+SELECT rx, ry, row_number() OVER (ORDER BY CAST('0x' || substr(md5(cell_id),1,8) AS BIGINT), cell_id) AS i FROM pt_cells"""
+VIEWS["pt_drawn"] = f"""
+SELECT rep, rx, row_number() OVER (PARTITION BY rep ORDER BY {draw_sql(11, 'CAST(rep AS BIGINT)', 'CAST(i AS BIGINT)')}, i) AS k
+FROM range(1, 5001) r(rep), pt_order"""
+VIEWS["pt_rho"] = "SELECT rep, corr(d.rx, o.ry) AS rho FROM pt_drawn d JOIN pt_order o ON o.i = d.k GROUP BY rep"
+
+
+@query("sta_permutation_test", "n:i rho:d6 p_value:d6",
+       """SELECT n, r AS rho, (SELECT count(CASE WHEN abs(rho) >= abs(r) - CAST(1e-12 AS DOUBLE) THEN 1 END) + 1 FROM pt_rho)/CAST(5001 AS DOUBLE) AS p_value
+          FROM (SELECT count(*) AS n, corr(rx, ry) AS r FROM pt_cells) q""")
 def _(spark, sf_dir):
     cells = staged(cycle_frame(spark, sf_dir).groupBy("cell_id").agg(
         F.avg("avg_stress").alias("s"), F.avg("capacity_ah").alias("c")))
-    return stats.permutation_test(cells, "cell_id", "s", "c", permutations=200)
+    return stats.permutation_test(cells, "cell_id", "s", "c")
 
 
 VIEWS["ar_m"] = """

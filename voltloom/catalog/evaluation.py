@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voltloom.catalog.base import query
 from voltloom.catalog.life import cycle_frame, targets
-from voltloom.catalog.views import VIEWS
+from voltloom.catalog.views import VIEWS, draw_sql
 from voltloom.operators import conformal, evaluate
 from voltloom.session import staged
 
@@ -35,6 +35,12 @@ SELECT {group} AS held_out, min(n_train) AS n_train, count(*) AS n_test, avg(abs
   1 - sum(({y}-pred)*({y}-pred))/sum(({y}-age_pred)*({y}-age_pred)) AS r2_vs_confound_baseline,
   corr(rp, ry) AS spearman_rho
 FROM {p}_ranks GROUP BY {group} HAVING count(*) >= 10""",
+        f"{p}_report": f"""
+SELECT c.{group} AS held_out, t.n_train, c.n AS n_test, f.mae, f.rmse, f.r2_vs_global_mean, f.r2_vs_own_mean_oracle,
+  f.r2_vs_confound_baseline, f.spearman_rho, CASE WHEN c.n < 10 THEN 'test fold has ' || c.n || ' rows, below minimum 10'
+    WHEN t.cohorts < 2 THEN 'training fold spans ' || t.cohorts || ' cohort(s), below minimum 2' ELSE '' END AS error
+FROM (SELECT {group}, count(*) AS n FROM {source} GROUP BY {group}) c JOIN {p}_fit t ON t.{group} = c.{group}
+LEFT JOIN {p}_folds f ON f.held_out = c.{group} AND t.cohorts >= 2""",
     }
 
 
@@ -44,7 +50,7 @@ VIEWS.update(fold_views("vg", "v_rows", "cumulative_fade", "avg_temp", "cohort")
 VIEWS.update(fold_views("va", "v_rows", "cumulative_fade", "cycle", "cohort"))
 
 FOLD = ("held_out:s n_train:i n_test:i mae:d6 rmse:d6 r2_vs_global_mean:d4 r2_vs_own_mean_oracle:d4 "
-        "spearman_rho:d5 r2_vs_confound_baseline:d4")
+        "spearman_rho:d5 r2_vs_confound_baseline:d4 error:s")
 TEMP = evaluate.ols("temp", ["avg_temp"])
 
 
@@ -52,23 +58,23 @@ def _rows(spark, sf_dir):
     return staged(targets(spark, sf_dir).where("cumulative_fade IS NOT NULL"))
 
 
-@query("val_leave_group_out_cells", FOLD, "SELECT * FROM vt_folds")
+@query("val_leave_group_out_cells", FOLD, "SELECT * FROM vt_report")
 def _(spark, sf_dir):
     return evaluate.cross_validate(_rows(spark, sf_dir), TEMP, "cumulative_fade", "cell_id", "LOBO",
-                                   evaluate.AGE_LINEAR).where("error IS NULL")
+                                   evaluate.AGE_LINEAR).fillna("", ["error"])
 
 
-@query("val_leave_group_out_cohorts", FOLD, "SELECT * FROM vg_folds")
+@query("val_leave_group_out_cohorts", FOLD, "SELECT * FROM vg_report")
 def _(spark, sf_dir):
     return evaluate.cross_validate(_rows(spark, sf_dir), TEMP, "cumulative_fade", "cohort", "LOCO",
-                                   evaluate.AGE_LINEAR).where("error IS NULL")
+                                   evaluate.AGE_LINEAR).fillna("", ["error"])
 
 
-@query("val_baseline_age_line", "held_out:s n_train:i n_test:i mae:d6 rmse:d6 r2_vs_global_mean:d4",
-       "SELECT * FROM va_folds")
+@query("val_baseline_age_line", "held_out:s n_train:i n_test:i mae:d6 rmse:d6 r2_vs_global_mean:d4 error:s",
+       "SELECT * FROM va_report")
 def _(spark, sf_dir):
     return evaluate.cross_validate(_rows(spark, sf_dir), evaluate.AGE_LINEAR, "cumulative_fade",
-                                   "cohort", "LOCO").where("error IS NULL")
+                                   "cohort", "LOCO").fillna("", ["error"])
 
 
 SUMMARY_SQL = """
@@ -93,25 +99,25 @@ def _(spark, sf_dir):
     return _summary(spark, sf_dir)
 
 
-@query("val_promotion_gate", "model:s status:s lobo_median_r2:d4 loco_median_r2:d4 lobo_minus_loco_r2:d4",
+@query("val_promotion_gate", "model:s status:s lobo_median_r2:d4 loco_median_r2:d4 lobo_minus_loco_r2:d4 reasons:s",
        """SELECT a.model, CASE WHEN a.median_r2_vs_global_mean > 0 AND b.median_r2_vs_global_mean > 0
             AND b.fraction_beating_baseline >= 0.5 AND a.median_r2_vs_confound_baseline > 0
             AND b.median_r2_vs_confound_baseline > 0 THEN 'PROMOTE' ELSE 'REJECT' END AS status,
           a.median_r2_vs_global_mean AS lobo_median_r2, b.median_r2_vs_global_mean AS loco_median_r2,
-          a.median_r2_vs_global_mean - b.median_r2_vs_global_mean AS lobo_minus_loco_r2
+          a.median_r2_vs_global_mean - b.median_r2_vs_global_mean AS lobo_minus_loco_r2,
+          concat_ws('; ', CASE WHEN NOT coalesce(a.median_r2_vs_global_mean > 0, false) THEN 'LOBO median R2 vs training mean is not above 0' END,
+            CASE WHEN NOT coalesce(b.median_r2_vs_global_mean > 0, false) THEN 'LOCO median R2 vs training mean is not above 0' END,
+            CASE WHEN NOT coalesce(b.fraction_beating_baseline >= 0.5, false) THEN 'fewer than half of the held-out protocols beat the baseline' END,
+            CASE WHEN a.median_r2_vs_confound_baseline <= 0 THEN 'LOBO does not improve on the age line' END,
+            CASE WHEN b.median_r2_vs_confound_baseline <= 0 THEN 'LOCO does not improve on the age line' END,
+            CASE WHEN a.median_r2_vs_global_mean - b.median_r2_vs_global_mean > CAST(0.1 AS DOUBLE)
+              THEN 'NOTE: LOBO exceeds LOCO; skill is concentrated within known protocols' END,
+            CASE WHEN a.median_r2_vs_global_mean > 0 AND b.median_r2_vs_global_mean > 0 AND b.fraction_beating_baseline >= 0.5
+              AND NOT coalesce(a.median_r2_vs_confound_baseline <= 0, false) AND NOT coalesce(b.median_r2_vs_confound_baseline <= 0, false)
+              THEN 'Beats the training-mean baseline out-of-sample on both splits' END) AS reasons
           FROM v_summary a JOIN v_summary b ON a.model = b.model WHERE a.split = 'LOBO' AND b.split = 'LOCO'""")
 def _(spark, sf_dir):
-    return evaluate.promotion_gate(staged(_summary(spark, sf_dir)))
-
-
-M = 2147483647
-
-
-def draw_sql(seed: int, *parts: str) -> str:
-    h = str(seed % M)
-    for p in parts:
-        h = f"(({h}*48271 + ({p} % {M})*16807 + 12345) % {M})"
-    return f"(({h}*48271 + 11) % {M})"
+    return evaluate.promotion_gate(staged(_summary(spark, sf_dir))).withColumn("reasons", F.array_join("reasons", "; "))
 
 
 VIEWS["b_folds"] = "SELECT *, row_number() OVER (ORDER BY CAST('0x' || substr(md5(held_out),1,8) AS BIGINT), held_out) AS i, count(*) OVER () AS n FROM vt_folds"
@@ -222,14 +228,14 @@ def _(spark, sf_dir):
 VIEWS.update(fold_views("vm", "v_rows", "cumulative_fade", None, "cohort"))
 
 
-@query("val_baseline_train_mean", "held_out:s n_train:i n_test:i mae:d6 rmse:d6 r2_vs_own_mean_oracle:d4",
-       "SELECT * FROM vm_folds")
+@query("val_baseline_train_mean", "held_out:s n_train:i n_test:i mae:d6 rmse:d6 r2_vs_own_mean_oracle:d4 error:s",
+       "SELECT * FROM vm_report")
 def _(spark, sf_dir):
     return evaluate.cross_validate(_rows(spark, sf_dir), evaluate.TRAIN_MEAN, "cumulative_fade",
-                                   "cohort", "LOCO").where("error IS NULL")
+                                   "cohort", "LOCO").fillna("", ["error"])
 
 
-@query("val_baseline_age_quadratic", "held_out:s n_train:i n_test:i mae:d6 rmse:d6 r2_vs_global_mean:d4")
+@query("val_baseline_age_quadratic", "held_out:s n_train:i n_test:i mae:d6 rmse:d6 r2_vs_global_mean:d4 error:s")
 def _(spark, sf_dir):
     return evaluate.cross_validate(_rows(spark, sf_dir), evaluate.AGE_QUADRATIC, "cumulative_fade",
-                                   "cohort", "LOCO").where("error IS NULL")
+                                   "cohort", "LOCO").fillna("", ["error"])

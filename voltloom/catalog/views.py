@@ -186,3 +186,13 @@ FROM (SELECT *, health_top_causes AS primary_causes, health_dominant_cause AS do
     ELSE 'Heat exposure is not flagged: this battery averaged ' || printf('%.1f', avg_temp) || ' °C, at or below 35 °C.' END AS heat_advice
  FROM cause_rows) g
 """
+
+
+M = 2147483647
+
+
+def draw_sql(seed: int, *parts: str) -> str:
+    h = str(seed % M)
+    for p in parts:
+        h = f"(({h}*48271 + ({p} % {M})*16807 + 12345) % {M})"
+    return f"(({h}*48271 + 11) % {M})"

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from voltloom.operators.ordered import exact_quantiles
 
 PADDING = 0.15
+#: Envelopes are tested as one array; a cohort is a protocol, and a fleet has far fewer of them.
+MAX_COHORTS = 10_000
 MIN_LEVELS = 5
 MIN_SPREAD_RATIO = 0.10
 
@@ -37,29 +39,35 @@ def identify_cohorts(observations: DataFrame, bounds: DataFrame, features: Seque
 
     All features inside means member; of several the one with most rows; with
     none the nearest has fewest violations. A missing feature violates. The
-    envelopes join on the feature name, so each observation meets each
-    cohort's few bounds and nothing else.
+    envelopes are one array value that every observation is tested against in
+    place: nothing is multiplied or shuffled. More than ``MAX_COHORTS``
+    cohorts are refused with an error, none is left out.
     """
     span = F.col("high") - F.col("low")
     pad = F.when(span > 0, PADDING * span).otherwise(PADDING * F.greatest(F.abs("high"), F.lit(1.0)))
-    padded = bounds.select("cohort", "feature", "n_rows", (F.col("low") - pad).alias("lo"),
-                           (F.col("high") + pad).alias("hi"))
-    values = long_form(observations, [key], features)
-    tested = values.join(padded, "feature").withColumn(
-        "_out", ~F.coalesce(F.col("value").between(F.col("lo"), F.col("hi")), F.lit(False)))
-    per = tested.groupBy(key, "cohort").agg(
-        F.max("n_rows").alias("n_rows"), F.count_if("_out").alias("n_violations"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("_out"), F.col("feature")))), ", ")
-        .alias("violations"))
-    rank = F.struct((F.col("n_violations") == 0).cast("int").alias("m"),
-                    F.when(F.col("n_violations") == 0, F.col("n_rows")).otherwise(-F.col("n_violations")).alias("r"),
-                    F.col("cohort"))
-    best = per.groupBy(key).agg(F.max_by(F.struct("cohort", "n_violations", "violations"), rank).alias("b"),
-                                F.count_if(F.col("n_violations") == 0).alias("n_matches"))
-    return best.select(
-        key, F.when(F.col("b.n_violations") == 0, F.col("b.cohort")).alias("cohort"),
-        F.col("b.cohort").alias("nearest"), F.col("b.n_violations").alias("n_violations"),
-        F.col("b.violations").alias("violations"), "n_matches")
+    envelopes = bounds.groupBy("cohort").agg(F.max("n_rows").alias("n_rows"), *[
+        F.max(F.when(F.col("feature") == f, F.struct((F.col("low") - pad).alias("lo"), (F.col("high") + pad).alias("hi"))))
+        .alias(f"_{i}") for i, f in enumerate(features)])
+    n = F.count(F.lit(1))
+    # One row of at most MAX_COHORTS envelopes; beyond that the count fails before the array is used.
+    few = envelopes.limit(MAX_COHORTS + 1).agg(F.collect_list(F.struct(*envelopes.columns)).alias("all"), n.alias("n")).select(
+        F.when(F.col("n") <= MAX_COHORTS, F.col("all")).otherwise(
+            F.raise_error(F.lit(f"more than {MAX_COHORTS} cohorts"))).alias("all")).scalar()
+
+    def against(c: Column) -> Column:
+        out = F.array_compact(F.array(*[F.when(~F.coalesce(
+            (F.col(f).cast("double") if f in observations.columns else F.lit(None).cast("double"))
+            .between(c[f"_{i}"]["lo"], c[f"_{i}"]["hi"]), F.lit(False)), F.lit(f)) for i, f in enumerate(features)]))
+        bad = F.size(out)
+        return F.struct((bad == 0).cast("int").alias("m"), F.when(bad == 0, c["n_rows"]).otherwise(-bad).cast("long").alias("r"),
+                        c["cohort"].alias("cohort"), bad.cast("long").alias("v"),
+                        F.array_join(F.array_sort(out), ", ").alias("violations"))
+
+    tested = observations.withColumn("_all", few).select(key, F.transform("_all", against).alias("_t")).select(
+        key, F.array_max("_t").alias("b"), F.size(F.filter("_t", lambda t: t["m"] == 1)).cast("long").alias("n_matches"))
+    return tested.where("b IS NOT NULL").select(
+        key, F.when(F.col("b.v") == 0, F.col("b.cohort")).alias("cohort"), F.col("b.cohort").alias("nearest"),
+        F.col("b.v").alias("n_violations"), F.col("b.violations").alias("violations"), "n_matches")
 
 
 def manifest(frame: DataFrame) -> DataFrame:

@@ -165,9 +165,11 @@ def cv_summary(folds: DataFrame) -> DataFrame:
         F.avg(F.when(F.col("error").isNull(), (F.coalesce(
             F.col("r2_vs_global_mean") > 0, F.lit(False))).cast("double")))
         .alias("fraction_beating_baseline"))
-    for m in METRICS:
-        out = out.join(exact_quantiles(done, keys, m, {f"median_{m}": 0.5}), keys, "left")
-    return out
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in METRICS])
+    mid = exact_quantiles(done.select(*keys, F.inline(cells)), [*keys, "metric"], "value", {"mid": 0.5})
+    medians = mid.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("metric") == m, F.col("mid"))).alias(f"median_{m}") for m in METRICS])
+    return out.join(medians, keys, "left")
 
 
 def promotion_gate(summary: DataFrame, lobo: str = "LOBO", loco: str = "LOCO") -> DataFrame:
