@@ -124,6 +124,16 @@ def test_state_probabilities_add_up_to_one():
         assert sum(arcs) + 10 ** a.backoff[s] * rest == pytest.approx(1)
 
 
+def test_rare_pairs_of_a_large_corpus_are_arcs(spark):
+    filler = " ".join(f"f{i % 40}" for i in range(700_000))  # a share of 5e-6 of the tokens would be more than 3
+    rows = [(0, filler), (2, "rare pair"), (3, "rare pair other"), (6, "rare pair")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sum(fold(r[0], 5) != 1 for r in rows[1:]) == 2
+    got = {r["doc_id"]: r["score"] for r in scoring.score(df).collect()}
+    want = {r[0]: r[5] for r in brute_scores([{"doc_id": k, "text": t} for k, t in rows], 2)}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_scores_of_nothing(spark):
     assert scoring.score(empty(spark)).count() == 0
     held = documents(spark).where("doc_id = 1 OR doc_id = 4")  # whatever is trained on, nothing fails

@@ -1,31 +1,33 @@
 """Language-model scores from a weighted backoff automaton.
 
 Model. Words and the end of a text are tokens. The unigram probability is the
-base: (c + 0.5) / (N + 0.5 (V + 1)). A pair h w that makes up at least
-``share`` of all training tokens has an arc out of the state h with
+base: (c + 0.5) / (N + 0.5 (V + 1)). A pair h w that occurs at least ``least``
+times in training (2: every pair seen more than once) has an arc out of the
+state h with
 
     p(w | h) = (c(hw) - D) / c(h) + backoff(h) p(w),
 
 and backoff(h) is what the arcs of h leave of its probability, so that each
 state's probabilities add up to one. Every other word takes the failure arc
 of h, which weighs backoff(h), to the root, and the root's arc, its unigram.
-A text is scored in one walk from left to right that carries the state and
-adds log10 weights. ``share`` bounds the automaton: at most 1 / share words
-and 1 / share pairs can reach it, so it may be sent to all tasks. It is the
-same share of the corpus at every size.
-
-Scale. The vocabulary grows with the corpus and is sent nowhere. A task cuts
-its documents into chunks; a chunk stores its texts as numbers of its own
-dictionary, and the dictionary as 64-bit hashes with training counts. Only
-dictionaries are shuffled, in ranges of the hash: each range sums the counts
+A text is scored from left to right in the automaton; the state after a word
+is that word, so all steps of a chunk are looked up at once.
+
+Scale. Words and pairs grow with the corpus and are sent nowhere as a whole. A
+task cuts its documents into chunks; a chunk stores its texts as numbers of
+its own dictionary, and the dictionary as 64-bit hashes with training counts.
+Dictionaries are shuffled in ranges of the hash: each range sums the counts
 of its words over all chunks and gives each chunk back the sums of its own
-words. So a frequent word is one entry for each chunk, never one for each
-occurrence, and no task holds more than a range. Pairs of frequent words are
-counted the same way (a pair reaches the share only if both words do, so none
-is missed). Texts move as compressed numbers, chunk by chunk.
+words. Pairs go the same way, in ranges of a 64-bit hash of the pair, so the
+followers of a frequent word are spread over all ranges. Of the chunks that
+hold a pair, one counts it for its first word; these counts of arcs are summed
+by word, again in ranges, and give each state's backoff. So a frequent word or
+pair is one entry for each chunk, never one for each occurrence, no task holds
+more than a range, and a chunk holds the part of the automaton that its own
+texts can reach. Texts move as compressed numbers, chunk by chunk.
 
 Defined results: a null text is empty: one token, its end. Words are told
-apart by their 64-bit hash. A null key counts as empty text in the fold (fold
+apart by their 64-bit hash, and so are pairs. A null key counts as empty text in the fold (fold
 0). Without training rows every token has probability 1 (N = V = 0: 0.5 /
 0.5). Repeated rows count as often as they occur. An empty table gives an
 empty result.
@@ -46,8 +48,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from voltloom.llm.base import crc_fold, partitions, staged
 
-SHARE, DISCOUNT, SEED = 5e-6, 0.5, 42
-CHUNK_BYTES = 24 << 20
+LEAST, DISCOUNT, SEED = 2, 0.5, 42
+#: A token counts as six bytes at least, so that a chunk has at most 2 M tokens besides its last text.
+CHUNK_BYTES, TOKEN_BYTES = 12 << 20, 6
+#: Odd, so that pairs of uniform hashes are uniform.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 #: No word holds white space, so no word has this hash's text.
 END = xxhash.xxh64_intdigest(b" end of text", SEED)
 
@@ -60,6 +65,16 @@ def opened(raw: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes: the empty upper ones take no room."""
+    return squeezed(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T))
+
+
+def unplaned(raw: bytes, kind: type) -> np.ndarray:
+    flat, width = opened(raw, np.uint8), np.dtype(kind).itemsize
+    return np.ascontiguousarray(flat.reshape(width, len(flat) // width).T).view(kind).ravel()
+
+
 class Numbers(dict):
     """Words to numbers in order of first sight."""
 
@@ -83,44 +98,41 @@ class Chunk:
     def add(self, key: object, held: bool, raw: bytes | None) -> None:
         words = raw.lower().split() if raw else []
         self.rows.append((key, held, np.array(list(map(self.words.__getitem__, words)), np.int32)))
-        self.size += len(raw or b"") + 64
+        self.size += max(len(raw or b""), TOKEN_BYTES * len(words)) + 64
 
-    def close(self, parts: int) -> tuple[list[tuple], list[tuple]]:
-        """(rows of documents, rows of dictionary ranges); numbers follow the order of the hashes."""
+    def close(self, parts: int) -> tuple[list[tuple], tuple, list[tuple]]:
+        """(rows of documents, the texts, rows of dictionary ranges); numbers follow the order of the hashes."""
         digest = xxhash.xxh64_intdigest
         hashes = np.array([*(digest(w, SEED) for w in self.words), END], np.uint64)
         hashes, place = np.unique(hashes, return_inverse=True)
-        end = np.int32(place[-1])
-        counts, total, docs = np.zeros(len(hashes), np.int64), 0, []
-        for key, held, numbers in self.rows:
-            tokens = np.append(place[numbers].astype(np.int32), end)
-            if not held:
-                counts += np.bincount(tokens, minlength=len(hashes)) if len(tokens) > 5000 else 0
-                if len(tokens) <= 5000:
-                    np.add.at(counts, tokens, 1)
-                total += len(tokens)
-            docs.append((key, held, squeezed(tokens)))
+        end = len(place) - 1
+        texts = [x for _, _, numbers in self.rows for x in (numbers, [end])]
+        tokens = place[np.concatenate(texts).astype(np.int64)].astype(np.int32)
+        # The length of a held-out text is negative.
+        lengths = np.array([-len(x) - 1 if held else len(x) + 1 for _, held, x in self.rows], np.int64)
+        trained = tokens[np.repeat(lengths > 0, np.abs(lengths))]
+        counts = np.bincount(trained, minlength=len(hashes)).astype(np.int64)
+        docs = [(key, held, i) for i, (key, held, _) in enumerate(self.rows)]
         cut = hash_ranges(hashes, parts)
-        ranges = [(i, hashes[a:b].tobytes(), squeezed(counts[a:b]), total if i == 0 else 0)
+        ranges = [(i, hashes[a:b].tobytes(), squeezed(counts[a:b]), len(trained) if i == 0 else 0)
                   for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a or i == 0]
-        return docs, ranges
+        return docs, (hashes.tobytes(), planes(tokens), squeezed(lengths)), ranges
 
 
 def chunks(df: DataFrame, key: str, text: str, held: F.Column, parts: int) -> DataFrame:
-    """(chunk, part, key, held_out, a, b, n): documents (part null) and dictionary ranges."""
+    """(chunk, part, key, held_out, a, b, c, n): numbered documents (part null), texts (part -1), dictionary ranges."""
     kind = df.schema[key].dataType
     arrow = to_arrow_type(kind)
-    names = ["chunk", "part", "key", "held_out", "a", "b", "n"]
+    names = ["chunk", "part", "key", "held_out", "a", "b", "c", "n"]
 
     def rows(number: int, chunk: Chunk) -> Iterator[pa.RecordBatch]:
-        docs, ranges = chunk.close(parts)
-        for columns in (
-                [[None] * len(docs), *zip(*docs), [None] * len(docs), [0] * len(docs)],
-                [[r[0] for r in ranges], [None] * len(ranges), [None] * len(ranges), *zip(*(r[1:] for r in ranges))]):
-            kinds = [pa.int32(), arrow, pa.bool_(), pa.binary(), pa.binary(), pa.int64()]
-            n = len(columns[0])
+        docs, texts, ranges = chunk.close(parts)
+        rest = [(-1, None, None, *texts, 0)] + [(i, None, None, h, c, None, n) for i, h, c, n in ranges]
+        for out in ([(None, key, held, None, None, None, i) for key, held, i in docs], rest):
+            kinds = [pa.int32(), arrow, pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number] * n, pa.int64()), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names)
+                [pa.array([number] * len(out), pa.int64()),
+                 *(pa.array(list(c), k) for c, k in zip(zip(*out), kinds))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -137,161 +149,229 @@ def chunks(df: DataFrame, key: str, text: str, held: F.Column, parts: int) -> Da
     schema = T.StructType([
         T.StructField("chunk", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("key", kind),
         T.StructField("held_out", T.BooleanType()), T.StructField("a", T.BinaryType()),
-        T.StructField("b", T.BinaryType()), T.StructField("n", T.LongType())])
+        T.StructField("b", T.BinaryType()), T.StructField("c", T.BinaryType()), T.StructField("n", T.LongType())])
     return df.select(F.col(key), held, F.col(text).cast("binary")).mapInArrow(run, schema)
 
 
-def word_counts(stored: DataFrame, least: float) -> DataFrame:
-    """Sums over all chunks: for each chunk and range the counts of its words, hashes of the frequent ones.
+def word_counts(stored: DataFrame) -> DataFrame:
+    """(chunk, part, counts, known): for each chunk and range the sums of its words over all chunks.
 
-    Chunk -1 holds, for each range, the frequent words and the number of known words.
+    Chunk -1 holds the number of known words of each range.
     """
     def total(table: pa.Table) -> pa.Table:
-        chunk, part = table.column("chunk").to_numpy(), table.column("part")[0].as_py()
+        chunk, part = table.column("chunk").to_pylist(), table.column("part")[0].as_py()
         hashes = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("a")]
-        counts = [opened(x.as_py(), np.int64) for x in table.column("b")]
         every, place = np.unique(np.concatenate(hashes), return_inverse=True)
         sums = np.zeros(len(every), np.int64)
-        np.add.at(sums, place, np.concatenate(counts))
+        np.add.at(sums, place, np.concatenate([opened(x.as_py(), np.int64) for x in table.column("b")]))
+        mine = np.split(sums[place], np.cumsum([len(h) for h in hashes])[:-1])
+        return pa.table({"chunk": pa.array([-1, *chunk], pa.int64()),
+                         "part": pa.array([part] * (len(chunk) + 1), pa.int32()),
+                         "counts": pa.array([None, *map(squeezed, mine)], pa.binary()),
+                         "known": pa.array([int((sums > 0).sum()), *[0] * len(chunk)], pa.int64())})
+
+    ranges = stored.where("part >= 0").select("chunk", "part", "a", "b")
+    return ranges.groupBy("part").applyInArrow(total, "chunk long, part int, counts binary, known long")
+
+
+def pairs_of(tokens: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(hash, number of the first and of the second word, training count) of a chunk's pairs, by hash."""
+    size = np.abs(lengths)
+    later = np.ones(len(tokens), bool)
+    later[np.cumsum(size) - size] = False
+    at = np.flatnonzero(later)
+    keys = tokens[at - 1].astype(np.int64) * len(hashes) + tokens[at]
+    training = np.repeat(lengths > 0, size)[at]
+    del at, later
+    trained, times = np.unique(keys[training], return_counts=True)
+    keys = np.unique(keys)
+    n = np.zeros(len(keys), np.int64)
+    n[np.searchsorted(keys, trained)] = times
+    h, w = keys // len(hashes), keys % len(hashes)
+    mixed = hashes[h] * MIX + hashes[w]
+    order = np.argsort(mixed)
+    return mixed[order], h[order], w[order], n[order]
+
+
+def opened_texts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, lengths, hashes of the words) of a chunk."""
+    return unplaned(row["b"], np.int32), opened(row["c"], np.int64), np.frombuffer(row["a"], np.uint64)
+
+
+def pair_counts(stored: DataFrame, least: int, parts: int) -> DataFrame:
+    """(chunk, part, counts, heads, n, arcs): the sums of a chunk's pairs over all chunks, in order of their hash.
+
+    Of the chunks that hold a pair, one has it among its ``heads``: numbers of
+    first words, with the occurrences and the number of their arcs.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                r = batch.slice(row, 1).to_pylist()[0]
+                pairs, h, _, n = pairs_of(*opened_texts(r))
+                cut = hash_ranges(pairs, parts)
+                out = [(r["chunk"], i, planes(np.diff(pairs[a:b], prepend=np.uint64(0))), planes(n[a:b]),
+                        planes(h[a:b].astype(np.int32))) for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                if out:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], ["chunk", "part", "pairs", "n", "h"])
+
+    def total(table: pa.Table) -> pa.Table:
+        column = lambda c, kind: [unplaned(x.as_py(), kind) for x in table.column(c)]
+        pairs = [np.cumsum(x, dtype=np.uint64) for x in column("pairs", np.uint64)]
+        every, first, place = np.unique(np.concatenate(pairs), return_index=True, return_inverse=True)
+        sums = np.zeros(len(every), np.int64)
+        np.add.at(sums, place, np.concatenate(column("n", np.int64)))
+        sums[sums < least] = 0
+        mine, counted = sums[place], np.zeros(len(place), bool)
+        counted[first] = sums > 0
         out, at = [], 0
-        for c, h in zip(chunk, hashes):
-            mine = sums[place[at:at + len(h)]]
-            out.append((int(c), part, squeezed(mine), h[mine >= least].tobytes(), 0))
+        for c, h in zip(table.column("chunk").to_pylist(), column("h", np.int32)):
+            n, own = mine[at:at + len(h)], counted[at:at + len(h)]
+            heads, where = np.unique(h[own], return_inverse=True)
+            sizes = np.bincount(where, weights=n[own], minlength=len(heads)).astype(np.int64)
+            arcs = np.bincount(where, minlength=len(heads)).astype(np.int64)
+            out.append((c, planes(n), planes(heads), planes(sizes), planes(arcs)))
             at += len(h)
-        often = sums >= least
-        out.append((-1, part, squeezed(sums[often]), every[often].tobytes(), int((sums > 0).sum())))
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
-        return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)],
-                        names=["chunk", "part", "counts", "often", "known"])
-
-    ranges = stored.where("part IS NOT NULL").select("chunk", "part", "a", "b")
-    return ranges.groupBy("part").applyInArrow(
-        total, "chunk long, part int, counts binary, often binary, known long")
-
-
-def by_chunk(stored: DataFrame, sums: DataFrame, work, schema: str | T.StructType) -> DataFrame:
-    """``work`` on each chunk's documents and the sums of its words."""
-    docs = stored.where("part IS NULL").select("chunk", "part", "key", "held_out", F.col("a").alias("tokens"))
-    own = sums.where("chunk >= 0").select("chunk", "part", "counts", "often")
-    both = docs.unionByName(own, allowMissingColumns=True)
-    return both.groupBy("chunk").applyInArrow(work, schema)
-
-
-def chunk_words(table: pa.Table, often: np.ndarray, least: float) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """(documents, count of each word, its place among the frequent words or -1)."""
-    ranges = sorted((r for r in table.select(["part", "counts", "often"]).to_pylist() if r["part"] is not None),
-                    key=lambda r: r["part"])
-    counts = np.concatenate([opened(r["counts"], np.int64) for r in ranges])
-    hashes = np.frombuffer(b"".join(r["often"] for r in ranges), np.uint64)
-    place = np.full(len(counts), -1, np.int64)
-    place[counts >= least] = np.searchsorted(often, hashes)
-    return table.filter(table.column("part").is_null()), counts, place
-
-
-def pair_counts(stored: DataFrame, sums: DataFrame, often: np.ndarray, least: float, parts: int) -> DataFrame:
-    """(h, w, n) of the frequent pairs, as places among the frequent words."""
-    shared = stored.sparkSession.sparkContext.broadcast(often)
-    width = max(1, len(often))
-
-    def count(table: pa.Table) -> pa.Table:
-        docs, _, place = chunk_words(table, shared.value, least)
-        found = []
-        for held, raw in zip(docs.column("held_out").to_pylist(), docs.column("tokens").to_pylist()):
-            if not held:
-                p = place[opened(raw, np.int32)]
-                both = (p[:-1] >= 0) & (p[1:] >= 0)
-                found.append(p[:-1][both] * width + p[1:][both])
-        pairs, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
-        cut = np.searchsorted(pairs // width, np.arange(parts + 1) * width // parts)
-        out = [(i, squeezed(np.diff(pairs[a:b], prepend=0)), squeezed(n[a:b].astype(np.int32)))
+        chunk, *rest = zip(*out)
+        return pa.table({"chunk": pa.array(chunk, pa.int64()), "part": table.column("part").combine_chunks(),
+                         **{k: pa.array(x, pa.binary()) for k, x in zip(("counts", "heads", "n", "arcs"), rest)}})
+
+    local = stored.where("part = -1").select("chunk", "a", "b", "c").mapInArrow(
+        count, "chunk long, part int, pairs binary, n binary, h binary")
+    return local.groupBy("part").applyInArrow(
+        total, "chunk long, part int, counts binary, heads binary, n binary, arcs binary")
+
+
+def state_counts(stored: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
+    """(chunk, part, n, arcs): what the arcs of a chunk's words hold over all chunks: occurrences and arcs."""
+    def spread(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        hashes = np.frombuffer(next(r["a"] for r in rows if r["a"] is not None), np.uint64)
+        n, arcs = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        for r in rows:
+            if r["a"] is None:
+                heads = unplaned(r["heads"], np.int32)
+                n[heads] += unplaned(r["n"], np.int64)
+                arcs[heads] += unplaned(r["arcs"], np.int64)
+        cut = hash_ranges(hashes, parts)
+        out = [(rows[0]["chunk"], i, hashes[a:b].tobytes(), planes(n[a:b]), planes(arcs[a:b]))
                for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-        return pa.table({"part": pa.array([o[0] for o in out], pa.int32()),
-                         "pairs": pa.array([o[1] for o in out], pa.binary()),
-                         "counts": pa.array([o[2] for o in out], pa.binary())})
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)],
+                        names=["chunk", "part", "a", "n", "arcs"])
 
     def total(table: pa.Table) -> pa.Table:
-        pairs = [np.cumsum(opened(x.as_py(), np.int64)) for x in table.column("pairs")]
-        counts = [opened(x.as_py(), np.int32) for x in table.column("counts")]
-        every, place = np.unique(np.concatenate(pairs), return_inverse=True)
-        n = np.zeros(len(every), np.int64)
-        np.add.at(n, place, np.concatenate(counts))
-        kept = n >= least
-        return pa.table({"h": every[kept] // width, "w": every[kept] % width, "n": n[kept]})
+        hashes = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("a")]
+        every, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        out = {"chunk": table.column("chunk"), "part": table.column("part")}
+        for c in ("n", "arcs"):
+            sums = np.zeros(len(every), np.int64)
+            np.add.at(sums, place, np.concatenate([unplaned(x.as_py(), np.int64) for x in table.column(c)]))
+            mine = np.split(sums[place], np.cumsum([len(h) for h in hashes])[:-1])
+            out[c] = pa.array(list(map(planes, mine)), pa.binary())
+        return pa.table(out)
 
-    local = by_chunk(stored, sums, count, "part int, pairs binary, counts binary")
-    return local.groupBy("part").applyInArrow(total, "h long, w long, n long")
+    words = stored.where("part = -1").select("chunk", "a")
+    both = pairs.select("chunk", "heads", "n", "arcs").unionByName(words, allowMissingColumns=True)
+    local = both.groupBy("chunk").applyInArrow(spread, "chunk long, part int, a binary, n binary, arcs binary")
+    return local.groupBy("part").applyInArrow(total, "chunk long, part int, n binary, arcs binary")
 
 
 class Automaton:
-    """States are frequent words with arcs; the root is state -1."""
+    """States are words with arcs; the root is state -1.
+
+    ``used`` is the probability mass times c(h) that all arcs of each state
+    hold; without it, the given arcs are all.
+    """
 
     def __init__(self, counts: np.ndarray, h: np.ndarray, w: np.ndarray, n: np.ndarray, total: int, known: int,
-                 discount: float = DISCOUNT) -> None:
+                 discount: float = DISCOUNT, used: np.ndarray | None = None) -> None:
         self.width = max(1, len(counts))
         self.total, self.known = total, known
-        used = np.bincount(h, weights=n - discount, minlength=len(counts)) if len(h) else np.zeros(len(counts))
+        if used is None:
+            used = np.bincount(h, weights=n - discount, minlength=len(counts)) if len(h) else np.zeros(len(counts))
         left = 1 - used / np.maximum(counts, 1)
+        self.root = np.log10(self.unigram(counts))
         p = (n - discount) / np.maximum(counts[h], 1) + left[h] * self.unigram(counts[w])
-        self.arcs = dict(zip((h * self.width + w).tolist(), np.log10(p).tolist()))
-        self.backoff = np.log10(left).tolist()
-        self.is_state = np.zeros(len(counts) + 1, bool)  # the last entry stands for place -1
-        self.is_state[h] = True
+        keys = h * self.width + w
+        order = np.argsort(keys)
+        self.keys, self.weights = keys[order], np.log10(p)[order]
+        self.backoff = np.log10(left)
+        self.is_state = used > 0
+
+    @property
+    def arcs(self) -> dict[int, float]:
+        return dict(zip(self.keys.tolist(), self.weights.tolist()))
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.5) / (self.total + 0.5 * (self.known + 1))
 
-    def walk(self, tokens: list[int], root: list[float], place: list[int], state_of: list[int]) -> float:
-        """log10 probability: arcs where there are any, else the failure arc and the root's arc."""
-        score, state, arcs, backoff, width = 0.0, -1, self.arcs, self.backoff, self.width
-        for t in tokens:
-            if state < 0:
-                score += root[t]
-            else:
-                arc = arcs.get(state * width + place[t]) if place[t] >= 0 else None
-                score += backoff[state] + root[t] if arc is None else arc
-            state = state_of[t]
-        return score
+    def walk(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 weight of each step: arcs where there are any, else the failure arc and the root's arc.
+
+        At ``starts`` texts begin, in the root.
+        """
+        weights = self.root[tokens]
+        inside = np.ones(len(tokens), bool)
+        inside[starts] = False
+        inside[1:] &= self.is_state[tokens[:-1]]
+        at = np.flatnonzero(inside)
+        h = tokens[at - 1].astype(np.int64)
+        keys = h * self.width + tokens[at]
+        place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        arc = self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        weights[at[~arc]] += self.backoff[h[~arc]]
+        weights[at[arc]] = self.weights[place[arc]]
+        return weights
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held_out: int = 1,
-          share: float = SHARE) -> DataFrame:
+          least: int = LEAST) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score): a row for each row of ``df``."""
-    spark = df.sparkSession
-    parts = max(64, partitions(spark))
+    parts = max(64, partitions(df.sparkSession))
     stored = staged(chunks(df, key, text, crc_fold(key, folds) == held_out, parts))
-    total = stored.where("part IS NOT NULL").agg(F.sum("n")).first()[0] or 0
-    least = max(2.0, share * total)
-    sums = staged(word_counts(stored, least))
-    # At most 1 / share frequent words and as many pairs.
-    ranges = sums.where("chunk = -1").select("part", "counts", "often", "known").orderBy("part").collect()
-    known = sum(r["known"] for r in ranges)
-    often = np.frombuffer(b"".join(r["often"] for r in ranges), np.uint64)
-    counts = np.concatenate([opened(r["counts"], np.int64) for r in ranges]) if ranges else np.zeros(0, np.int64)
-    arcs = pair_counts(stored, sums, often, least, parts).toArrow()
-    model = spark.sparkContext.broadcast((often, Automaton(
-        counts, *(arcs.column(c).to_numpy().astype(np.int64) for c in ("h", "w", "n")), total, known)))
+    total = stored.where("part >= 0").agg(F.sum("n")).first()[0] or 0
+    words = staged(word_counts(stored))
+    known = words.where("chunk = -1").agg(F.sum("known")).first()[0] or 0
+    pairs = staged(pair_counts(stored, least, parts))
+    states = state_counts(stored, pairs, parts)
     kind = df.schema[key].dataType
 
     def walk(table: pa.Table) -> pa.Table:
-        often, automaton = model.value
-        docs, counts, place = chunk_words(table, often, least)
-        base = np.log10(automaton.unigram(counts))
-        state_of = np.where(automaton.is_state[place], place, -1).tolist()
-        root, places = base.tolist(), place.tolist()
-        n_tokens, n_known, bases, scores = [], [], [], []
-        for raw in docs.column("tokens").to_pylist():
-            tokens = opened(raw, np.int32)
-            n_tokens.append(len(tokens))
-            n_known.append(int((counts[tokens] > 0).sum()))
-            bases.append(float(base[tokens].sum()))
-            scores.append(automaton.walk(tokens.tolist(), root, places, state_of))
+        of = table.column("of").to_numpy()
+        docs = table.filter(pa.array(of == 0)).sort_by("number")
+        tokens, lengths, hashes = opened_texts(table.filter(pa.array(of == 1)).to_pylist()[0])
+
+        def whole(what: int, column: str, read=unplaned) -> np.ndarray:
+            rows = table.filter(pa.array(of == what)).sort_by("part")
+            return np.concatenate([np.zeros(0, np.int64), *(read(x.as_py(), np.int64) for x in rows.column(column))])
+
+        counts = whole(2, "a", opened)
+        _, h, w, _ = pairs_of(tokens, lengths, hashes)
+        n = whole(3, "a")
+        arc = n > 0
+        automaton = Automaton(counts, h[arc], w[arc], n[arc], total, known,
+                              used=whole(4, "a") - DISCOUNT * whole(4, "b"))
+        size = np.abs(lengths)
+        starts = np.cumsum(size) - size
+        sums = lambda x: np.add.reduceat(x, starts)
         return pa.table([
-            docs.column("key"), docs.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
-            pa.array([total] * len(scores), pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64())],
+            docs.column("key"), docs.column("held_out"), pa.array(size), pa.array(sums((counts[tokens] > 0).astype(int))),
+            pa.array([total] * len(size), pa.int64()), pa.array(sums(automaton.root[tokens])),
+            pa.array(sums(automaton.walk(tokens, starts)))],
             names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = T.StructType([
         T.StructField("key", kind), T.StructField("held_out", T.BooleanType()),
         *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")),
         *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))])
-    return by_chunk(stored, sums, walk, schema).withColumnRenamed("key", key)
+    of = lambda df, what, *columns: df.select("chunk", F.lit(what).alias("of"), *columns)
+    every = of(stored.where("part IS NULL"), 0, "key", "held_out", F.col("n").alias("number"))
+    for more in (of(stored.where("part = -1"), 1, "a", "b", "c"),
+                 of(words.where("chunk >= 0"), 2, "part", F.col("counts").alias("a")),
+                 of(pairs, 3, "part", F.col("counts").alias("a")),
+                 of(states, 4, "part", F.col("n").alias("a"), F.col("arcs").alias("b"))):
+        every = every.unionByName(more, allowMissingColumns=True)
+    return every.groupBy("chunk").applyInArrow(walk, schema).withColumnRenamed("key", key)
