@@ -93,6 +93,22 @@ def test_near_vectors_of_odd_rows(spark, tile, window):
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
 
 
+def test_windows_do_not_depend_on_the_number_of_ranges(spark):
+    x = np.random.default_rng(1).normal(size=(30, 8)) * 0.3 + 1
+    nodes = spark.createDataFrame([("a", i, 8, v.tolist()) for i, v in enumerate(x)],
+                                  "label string, node long, dim int, vector array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for parts in (1, 40):  # 60 rows of two passes: ranges of one or two rows
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            links = vectors.window_links(nodes, 0.9, 2, 8)
+            found.append({(r["node"], r["root"]) for r in components.connected(links).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] and found[0]
+
+
 def test_near_vectors_of_nothing(spark):
     assert vectors.near_duplicates(odd_vectors(spark).where("false")).count() == 0
 

@@ -13,9 +13,9 @@ links is exact inside a component however large it is. Equal vectors are one
 node from the start, with the number of their rows.
 
 Scale. A pass is a range partitioning by (pass, label, key, node), so no
-label, however hot, goes to one task; the first rows of each range are given
-to the range before it, so that windows do not end at its border. A task
-hands over a forest of its links.
+label, however hot, goes to one task; the rows that follow a range are given
+to it too, from as many ranges as a window reaches, so that windows do not
+depend on the number of ranges. A task hands over a forest of its links.
 
 Defined results: rows that take no part (null label, null vector, a null or
 non-finite component, length zero, null id) have no links, are their own
@@ -88,6 +88,19 @@ def pass_keys(nodes: DataFrame, passes: int, planes: int, seed: int) -> DataFram
         run, "pass int, label string, dim int, key long, node long, vector array<double>")
 
 
+def reached(rows: dict[int, int], window: int) -> list[tuple[int, int, int]]:
+    """(range, later range that its windows reach, rows between them); ``rows`` has the ranges that hold any."""
+    parts, out = sorted(rows), []
+    for i, p in enumerate(parts):
+        between = 0
+        for q in parts[i + 1:]:
+            if between >= window:
+                break
+            out.append((p, q, between))
+            between += rows[q]
+    return out
+
+
 def window_links(nodes: DataFrame, threshold: float, passes: int, window: int,
                  planes: int = PLANES, seed: int = SEED) -> DataFrame:
     """Verified links (a, b) between neighbours in any pass, as forests."""
@@ -109,9 +122,13 @@ def window_links(nodes: DataFrame, threshold: float, passes: int, window: int,
     ranged = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order)
     placed = staged(ranged.mapInArrow(number, "pass int, label string, dim int, key long, node long, "
                                               "vector array<double>, part int, place long"))
-    # The range before also gets the first rows of the next one.
-    edge = placed.where(F.col("place") < window).withColumn("part", F.col("part") - 1).where("part >= 0")
-    ranges = placed.unionByName(edge).select("part", *order, "vector")
+    # Each range also gets the ``window`` rows after it, from however many ranges: a row of each range on the driver.
+    rows = dict(placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    reach = [(q, p, window - between) for p, q, between in reached(rows, window)]
+    takers = spark.createDataFrame(reach, "part int, taker int, upto int")
+    edge = (placed.join(F.broadcast(takers), "part").where(F.col("place") < F.col("upto"))
+            .withColumn("part", F.col("taker")))
+    ranges = placed.select("part", *order, "vector").unionByName(edge.select("part", *order, "vector"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, starts in whole_units(batches, ["part", "pass", "label", "dim"]):
