@@ -109,6 +109,21 @@ def test_windows_do_not_depend_on_the_number_of_ranges(spark):
     assert found[0] == found[1] and found[0]
 
 
+def test_dense_clusters_lose_no_pair(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centre = unit(rng.normal(size=64))
+    x = unit(np.sqrt(0.9) * centre + np.sqrt(0.1) * unit(rng.normal(size=(3000, 64))))  # cosines of 0.9 to each other
+    side = unit(rng.normal(size=(300, 64)))
+    side = unit(side - (side * x[:300]).sum(1, keepdims=True) * x[:300])
+    x = np.concatenate([x, 0.983 * x[:300] + np.sqrt(1 - 0.983 ** 2) * side])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["component_id"] for r in vectors.near_duplicates(df, window=2).collect()}
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.98, 1))
+    low = components.forest(len(x), a, b)
+    assert len(a) >= 300 and all(got[i] == low[i] for i in range(len(x)))
+
+
 def test_near_vectors_of_nothing(spark):
     assert vectors.near_duplicates(odd_vectors(spark).where("false")).count() == 0
 
