@@ -159,6 +159,20 @@ def test_bounds_hold():
             assert all((q, c) in kept for c, _ in best)
 
 
+def test_bounds_leave_out_all_rows_of_the_query():
+    pivots, far = np.array([[100.0, 0], [1.0, 0], [0.9, 0]]), {0: 0.0, 1: 0.0, 2: 0.0}
+    data = {0: (7, 0.0), 1: (1, 0.0), 2: (9, 0.0)}  # the first cell is the query's own id, seven times
+    assert (0, 2) not in knn.needed(pivots, far, data, 5)
+    assert (0, 2) in knn.needed(pivots, far, data, 5, repeats=7)
+
+
+def test_top_k_of_a_repeated_id(spark):
+    rows = [(0, [100.0, 0.0])] * 7 + [(1, [1.0, 0.0])] + [(i, [0.9, 0.0]) for i in range(2, 11)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = knn.top_k(df, F.col("id") == 0)
+    assert [r["vec_id"] for r in got.orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
 def test_large_components_stay_exact():
     q, d = np.array([[1 << 30, -(1 << 30)]]), np.array([[1 << 30, 1], [1, 1 << 30]])
     s, f = np.full((1, 2), knn.LOWEST), np.zeros((1, 2), np.int64)

@@ -9,8 +9,9 @@ for a cell of queries and a cell of data:
     at least  pivots' product - |data pivot| r_q - |query pivot| r_d - r_q r_d
 
 A query cell's k-th best score is at least the highest lower bound that cells
-with more than k vectors in total reach; a data cell whose upper bound is
-below it is not sent there. What remains is solved exactly, in integers.
+with at least k vectors besides the query's own rows in total reach (as many
+rows as the most repeated id has may be its own); a data cell whose upper
+bound is below it is not sent there. What remains is solved exactly, in integers.
 
 Scale. Cells of queries are cut into tiles of ``query_tile``, what a tile
 needs of the data is dealt to slices of about ``slice_rows`` rows, and a task
@@ -86,8 +87,8 @@ def with_cell(df: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
 
 
 def needed(pivots: np.ndarray, queries: dict[int, float], data: dict[int, tuple[int, float]],
-           k: int) -> list[tuple[int, int]]:
-    """(query cell, data cell) pairs that may hold a result; data gives (number, radius)."""
+           k: int, repeats: int = 1) -> list[tuple[int, int]]:
+    """(query cell, data cell) pairs that may hold a result; data gives (number, radius); an id has ``repeats`` rows at most."""
     out = []
     length = np.sqrt((pivots ** 2).sum(axis=1))
     for q, rq in queries.items():
@@ -100,7 +101,7 @@ def needed(pivots: np.ndarray, queries: dict[int, float], data: dict[int, tuple[
         have, least = 0, -np.inf
         for low, _, n, _ in bounds:
             have += n
-            if have > k:  # one of them may be the query itself
+            if have >= k + repeats:  # so many of them may be the query itself
                 least = low
                 break
         out += [(q, d) for _, high, _, d in bounds if high >= least]
@@ -155,9 +156,13 @@ def top_k(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "e
         return out
 
     of_data, of_queries = summary(data), summary(queries)
+    # Rows with a query's own id: what the most repeated id has.
+    repeats = data.groupBy("dim", "id").agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.max("n")).collect()
+    repeats = {r[0]: r[1] for r in repeats}
     units = []
     for dim, cells in of_queries.items():
-        pairs = needed(chosen[dim], {c: r for c, (_, r) in cells.items()}, of_data[dim], k)
+        pairs = needed(chosen[dim], {c: r for c, (_, r) in cells.items()}, of_data[dim], k,
+                       repeats[dim])
         for q, (n, _) in cells.items():
             mine = [d for c, d in pairs if c == q]
             rows = sum(of_data[dim][d][0] for d in mine)
