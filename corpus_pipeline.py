@@ -4,11 +4,10 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
 before it kept. All stages but the last return the columns of the documents,
 extra ones included; names that a stage needs for itself start with "_p_".
 
-Defined results: texts without a letter, and those that are near to no
-learned language, are rejected, so null and empty texts go in the first
-stage. Of each group of near-duplicates the document with the smallest id
-stays, once if its row is repeated; rows without an id stay if no row with an
-id is in their group. A document that the mix takes twice is two rows. Empty
+Defined results: texts without a letter are rejected, so null and empty texts
+go in the first stage; a text with a letter stays, however short. Of each group
+of near-duplicates one row stays: with the smallest id, and the smallest text
+hash if the id is repeated; of a group without any id, one row. A document that the mix takes twice is two rows. Empty
 tables give empty results.
 """
 
@@ -23,19 +22,16 @@ from voltloom.llm import bpe, language, mixing, simhash, toxicity
 from voltloom.llm.base import crc_fold, table
 from voltloom.llm.registry import VOCABULARY
 
-#: Below this cosine a text is near to no language: random letter groups of 1024 dimensions reach 0.03.
-LEAST_COSINE = 0.05
-
 
 def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in like.columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts that are near to no learned language."""
+    """Rejects texts without a letter."""
     training = docs.where(crc_fold("doc_id", 5) != 0).select("text", "lang")
     seen = language.predict(docs, language.learn(training), out=("_p_lang", "_p_score"))
-    return _columns(seen.where((F.col("_p_lang") != language.UNKNOWN) & (F.col("_p_score") >= LEAST_COSINE)), docs)
+    return _columns(seen.where(F.col("_p_lang") != language.UNKNOWN), docs)
 
 
 def toxic_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -236,5 +236,13 @@ def test_stages_take_odd_rows(spark):
     assert corpus_pipeline.encoded(spark, df, SF).count() == df.count()
 
 
+def test_short_texts_of_a_language_stay(spark):
+    docs = corpus_pipeline.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    short = spark.createDataFrame([(-1, "Avec.", "fr"), (-2, "A.", "en"), (-3, "Q.", "en"), (-4, "12!", "en"), (-5, "Zx.", "fr")],
+                                  "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language_id(spark, docs.unionByName(short), SF)
+    assert {r["doc_id"] for r in kept.where("doc_id < 0").collect()} == {-1, -2, -3, -5}
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
