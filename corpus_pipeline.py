@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltloom.llm import bpe, language, mixing, simhash, toxicity
@@ -41,12 +41,14 @@ def toxic_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_p_id")).distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_p_id"]), "left_semi").withColumn("_p_place", first)
-    return _columns(rows.where("_p_place = 1 OR doc_id IS NULL"), docs)
+    """Keeps one row of each group."""
+    marked = docs.withColumn("_p_text", F.xxhash64("text"))
+    found = simhash.grouped(marked, ["doc_id", "_p_text"])
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("_p_text").alias("hash")))
+    kept = found.groupBy("root").agg(first.alias("first")).select(
+        F.col("first.doc_id").alias("_p_id"), F.col("first.hash").alias("_p_hash"))
+    rows = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_p_id"]) & (F.col("_p_text") == F.col("_p_hash")), "left_semi")
+    return _columns(rows.dropDuplicates(["doc_id", "_p_text"]), docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -244,5 +244,13 @@ def test_short_texts_of_a_language_stay(spark):
     assert {r["doc_id"] for r in kept.where("doc_id < 0").collect()} == {-1, -2, -3, -5}
 
 
+def test_repeated_and_missing_ids_keep_one_row_of_a_group(spark):
+    one, two, three = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue black white grey")
+    rows = [(1, one), (1, two), (1, one), (2, one), (None, three), (None, three), (None, two), (None, "only here a text stands")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, (tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())))
+    assert got == sorted(map(str, [(1, one), (1, two), (None, three), (None, "only here a text stands")]))
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100

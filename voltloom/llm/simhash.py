@@ -223,14 +223,19 @@ def close_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
     return units.sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS,
-                    tile: int = TILE) -> DataFrame:
-    """(key, fingerprint as long, component_id): a row for each row of ``df``."""
-    rows = staged(with_fingerprint(df.select(F.col(key), F.col(text)), text).select(key, "fingerprint"))
-    nodes = staged(rows.groupBy("fingerprint").agg(F.min(key).alias("first")))
+def grouped(df: DataFrame, keys: list[str], text: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(keys, fingerprint, root, component_id): a row for each row of ``df``; root tells all components apart."""
+    rows = staged(with_fingerprint(df.select(*keys, text), text).select(*keys, "fingerprint"))
+    nodes = staged(rows.groupBy("fingerprint").agg(F.min(keys[0]).alias("first")))
     links = close_links(nodes.select(F.col("fingerprint").alias("node"), F.col("fingerprint").alias("fp")), radius, tile)
     roots = connected(links).withColumnRenamed("node", "fingerprint")
     member = nodes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    owner = staged(member.join(smallest, "root").select("fingerprint", "component_id"))
-    return rows.join(owner, "fingerprint").select(key, "fingerprint", "component_id")
+    owner = staged(member.join(smallest, "root").select("fingerprint", "root", "component_id"))
+    return rows.join(owner, "fingerprint").select(*keys, "fingerprint", "root", "component_id")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS,
+                    tile: int = TILE) -> DataFrame:
+    """(key, fingerprint as long, component_id): a row for each row of ``df``."""
+    return grouped(df, [key], text, radius, tile).drop("root")
