@@ -1,4 +1,4 @@
-"""The ten operators as registered queries, with production parameters over whole tables."""
+"""The thirteen operators as registered queries, with production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltloom.llm import bpe, knn, language, mixing, scoring, sharding, simhash, toxicity, urls, vectors
+from voltloom.llm import (
+    alignment, bpe, knn, language, mixing, packing, scoring, sharding, simhash, toxicity, trie, urls, vectors)
 from voltloom.llm.base import table
 from voltloom.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +64,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, VOCABULARY, PIECES, outputs=("groups_sha256",)).drop("text")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, outputs=("ids_crc32",))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_embedding_near_dedup, op3_lm_scoring, op4_url_filters, op5_source_mixing, op6_sharding,
-    op7_simhash_near_dedup, op8_exact_top_k, op9_bpe, op10_toxicity)}
+    op7_simhash_near_dedup, op8_exact_top_k, op9_bpe, op10_toxicity, op11_tokenizer_alignment, op12_prefix_trie,
+    op13_packing)}
