@@ -77,8 +77,9 @@ def rebuilt(conversations: DataFrame, family: int = 20, shared: int = 4) -> tupl
     """
     spark = conversations.sparkSession
     # The last term parts rows that are equal in all else; which of them comes first makes no difference.
+    # Stored first, since a range shuffle reads its input twice: for the borders and for the rows.
     rows = in_parts(
-        turns(conversations).withColumn("tie", F.monotonically_increasing_id()),
+        staged(turns(conversations).withColumn("tie", F.monotonically_increasing_id())),
         [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("digest"), F.col("tie")], partitions(spark)).drop("tie")
     pieces = staged(rows.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n")))
     sizes = pieces.groupBy("conv_id").agg(F.sum("n").alias("n")).select(
