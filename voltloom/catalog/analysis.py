@@ -215,21 +215,18 @@ def _(spark, sf_dir):
     return series.thermal_positions(phases.with_phase(cut, "discharge"), ["cell_id", "phase_no"])
 
 
-@query("win_series_downsample", "cell_id:s cycle:i stress:d6",
-       """SELECT cell_id, cycle, stress FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY cycle) - 1 AS at_p, count(*) OVER (PARTITION BY cell_id) AS n
-            FROM (SELECT cell_id, cycle, avg(stress_score) AS stress FROM stressed GROUP BY cell_id, cycle) g) s
-          WHERE n <= 6 OR list_contains(list_transform(range(0, 6), lambda k: CAST(floor(k*(n-1)/5.0) AS BIGINT)), at_p)""")
+@query("win_series_downsample", "cell_id:s rn:i voltage_v:d6",
+       """SELECT cell_id, rn, voltage_v FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY rn) - 1 AS at_p, count(*) OVER (PARTITION BY cell_id) AS n FROM fx_duty) s
+          WHERE n <= 60 OR list_contains(list_transform(range(0, 60), lambda k: CAST(floor(k*(n-1)/59.0) AS BIGINT)), at_p)""")
 def _(spark, sf_dir):
-    from voltloom.catalog.fleet import _behaviour
-    per = _behaviour(spark, sf_dir).groupBy("cell_id", "cycle").agg(F.avg("stress_score").alias("stress"))
-    return series.evenly_spaced(staged(per), ["cell_id"], ["cycle"], 6, F.floor(F.col("cycle") / 1000))
+    return series.evenly_spaced(staged(fixtures.duty(spark, sf_dir)), ["cell_id"], ["rn"], 60, F.floor(F.col("rn") / 4096))
 
 
-@query("win_thin_rows_per_cell", "cell_id:s cycle:i",
-       """SELECT cell_id, cycle FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY cycle) - 1 AS at_p, count(*) OVER (PARTITION BY cell_id) AS n FROM fx_cycles) s
-          WHERE n <= 20 OR list_contains(list_transform(range(0, 20), lambda k: CAST(floor(k*(n-1)/19.0) AS BIGINT)), at_p)""")
+@query("win_thin_rows_per_cell", "cell_id:s rn:i current_a:d6",
+       """SELECT cell_id, rn, current_a FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY rn) - 1 AS at_p, count(*) OVER (PARTITION BY cell_id) AS n FROM fx_duty) s
+          WHERE n <= 200 OR list_contains(list_transform(range(0, 200), lambda k: CAST(floor(k*(n-1)/199.0) AS BIGINT)), at_p)""")
 def _(spark, sf_dir):
-    return series.evenly_spaced(cycle_frame(spark, sf_dir), ["cell_id"], ["cycle"], 20, F.floor(F.col("cycle") / 1000))
+    return series.evenly_spaced(staged(fixtures.duty(spark, sf_dir)), ["cell_id"], ["rn"], 200, F.floor(F.col("rn") / 4096))
 
 
 @query("jn_cycle_interval_join", "cell_id:s rn:i cycle:i",

@@ -288,10 +288,13 @@ def _(spark, sf_dir):
 
 
 # Cycles with a step in the rate, dropouts, no discharge, no voltage.
+# Cycles of 150 samples each: pause, 120 samples of discharge, charge.
 VIEWS["cc_in"] = """
-SELECT cell_id, cyc AS cycle, test_time_s, pos*CAST(0.025 AS DOUBLE) AS q, CASE WHEN cyc % 4 = 3 AND pos % 2 = 0 THEN NULL ELSE voltage_v END AS v,
-  -CASE WHEN cyc % 7 = 2 THEN abs(current_a) WHEN cyc % 5 = 1 AND pos % 3 = 0 THEN 0
-    WHEN cyc % 3 = 0 AND pos BETWEEN 12 AND 19 THEN CAST(-0.9 AS DOUBLE) ELSE current_a END AS m FROM fx_duty"""
+SELECT cell_id, cycle, test_time_s, k*CAST(0.025 AS DOUBLE) AS q, CASE WHEN cycle % 4 = 3 AND k % 2 = 0 THEN NULL ELSE CAST(4.1 AS DOUBLE) - CAST(0.008 AS DOUBLE)*k END AS v,
+  -CASE WHEN cycle % 7 = 2 THEN abs(amps) WHEN cycle % 5 = 1 AND k % 30 = 0 THEN 0
+    WHEN cycle % 3 = 0 AND k BETWEEN 80 AND 123 THEN CAST(-0.9 AS DOUBLE) ELSE amps END AS m FROM (
+  SELECT *, CASE WHEN k BETWEEN 4 AND 123 THEN CAST(-1.5 AS DOUBLE) WHEN k > 130 THEN CAST(3.0 AS DOUBLE) ELSE 0 END AS amps FROM (
+    SELECT cell_id, test_time_s, CAST(floor((rn-1)/150.0) AS INT) AS cycle, (rn-1) % 150 AS k FROM fx_duty) a) b"""
 VIEWS["cc_rate"] = """
 SELECT cell_id, cycle, count(CASE WHEN m > 0 THEN 1 END) AS n_right, quantile_cont(m, 0.5) FILTER (m > 0) AS med, max(m) AS peak
 FROM cc_in GROUP BY cell_id, cycle"""
@@ -302,9 +305,9 @@ FROM (SELECT *, coalesce(lag(el) OVER w, false) AS was, lag(m) OVER w AS mp FROM
    SELECT i.*, r.peak, coalesce(m >= 0.5*med, false) AS el FROM cc_in i JOIN cc_rate r ON i.cell_id = r.cell_id AND i.cycle = r.cycle) a
  WINDOW w AS (PARTITION BY cell_id, cycle ORDER BY test_time_s)) b"""
 VIEWS["cc_best"] = """
-SELECT r.cell_id, r.cycle, b.run, b.i_run, b.q0, CASE WHEN n_right = 0 THEN 'no discharge samples' WHEN n_right < 6 THEN 'too few discharge samples in the cycle'
-    WHEN n IS NULL THEN 'no constant-current discharge run' WHEN n < 6 THEN 'longest run too short'
-    WHEN nf < 6 THEN 'too few pairs of voltage and charge' WHEN span < 0.1 THEN 'voltage span too small' ELSE '' END AS refusal
+SELECT r.cell_id, r.cycle, b.run, b.i_run, b.q0, CASE WHEN n_right = 0 THEN 'no discharge samples' WHEN n_right < 50 THEN 'too few discharge samples in the cycle'
+    WHEN n IS NULL THEN 'no constant-current discharge run' WHEN n < 50 THEN 'longest run too short'
+    WHEN nf < 50 THEN 'too few pairs of voltage and charge' WHEN span < 0.1 THEN 'voltage span too small' ELSE '' END AS refusal
 FROM cc_rate r LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY cell_id, cycle ORDER BY n DESC, run) AS k FROM (
   SELECT cell_id, cycle, run, count(*) AS n, count(v) AS nf, max(v) - min(v) AS span, min(CASE WHEN v IS NOT NULL THEN q END) AS q0,
     -quantile_cont(m, 0.5) AS i_run FROM cc_cut WHERE el GROUP BY cell_id, cycle, run) a) b
@@ -312,13 +315,14 @@ ON r.cell_id = b.cell_id AND r.cycle = b.cycle AND b.k = 1"""
 
 
 def cc_runs(spark, sf_dir):
-    cyc, pos, i = F.col("cyc"), F.col("pos"), F.col("current_a")
+    cyc, at = F.floor((F.col("rn") - 1) / 150).cast("int"), F.pmod(F.col("rn") - 1, F.lit(150))
+    amps = F.when(at.between(4, 123), -1.5).when(at > 130, 3.0).otherwise(0.0)
     rows = fixtures.duty(spark, sf_dir).withColumns({
-        "cycle": cyc, "seq": F.col("rn"), "capacity_ah_counter": pos * 0.025,
-        "voltage_v": F.when(~((cyc % 4 == 3) & (pos % 2 == 0)), F.col("voltage_v")),
-        "current_a": F.when(cyc % 7 == 2, F.abs(i)).when((cyc % 5 == 1) & (pos % 3 == 0), 0.0)
-        .when((cyc % 3 == 0) & pos.between(12, 19), -0.9).otherwise(i)})
-    return extract.constant_current_runs(rows, min_points=6)
+        "cycle": cyc, "seq": F.col("rn"), "capacity_ah_counter": at * 0.025,
+        "voltage_v": F.when(~((cyc % 4 == 3) & (at % 2 == 0)), 4.1 - 0.008 * at),
+        "current_a": F.when(cyc % 7 == 2, F.abs(amps)).when((cyc % 5 == 1) & (at % 30 == 0), 0.0)
+        .when((cyc % 3 == 0) & at.between(80, 123), -0.9).otherwise(amps)})
+    return extract.constant_current_runs(rows)
 
 
 @query("seg_extract_cc_curves", "cell_id:s cycle:i test_time_s:d3 run_current_a:d6 voltage_v:d6 capacity_ah_curve:d6",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voltloom import fixtures, schema
 from voltloom.catalog.base import query
+from voltloom.catalog.views import VIEWS
 from voltloom.catalog.life import cycle_frame
 from voltloom.catalog.state import run_of, runs
 from voltloom.session import shared_dir, staged
@@ -41,21 +42,32 @@ def _(spark, sf_dir):
     return both.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src_scan_run_files_with_manifest", "cell_id:s rn:i cycle:i soc:d6 capacity_ah:d6",
-       """SELECT cell_id, rn, cyc + 1 AS cycle, greatest(0, least(100, CASE WHEN d THEN 100*(1 - used/0.4) ELSE 100*used/2.0 END)) AS soc,
+# Three run files a cycle: 0 the rest before a discharge, 1 the discharge, 2 the pause and the charge after it.
+VIEWS["run_files"] = """
+SELECT *, CASE WHEN pos < 4 THEN 0 WHEN pos < 20 THEN 1 ELSE 2 END AS part FROM fx_duty"""
+VIEWS["run_dis"] = "SELECT DISTINCT cell_id, cyc FROM run_files WHERE part = 1"
+
+
+@query("src_scan_run_files_with_manifest", "cell_id:s rn:i type:s cycle:i soc:d6 capacity_ah:d6",
+       """SELECT cell_id, rn, CASE WHEN d THEN 'discharge' ELSE 'charge' END AS type, no AS cycle,
+          greatest(0, least(100, CASE WHEN d THEN 100*(1 - used/0.4) ELSE 100*used/2.0 END)) AS soc,
           CASE WHEN d AND back = 1 THEN CAST(0.4 AS DOUBLE) END AS capacity_ah FROM (
-           SELECT *, sum(abs(current_a)*dt/3600.0) OVER (PARTITION BY cell_id, cyc, d ORDER BY rn) AS used,
-             row_number() OVER (PARTITION BY cell_id, cyc, d ORDER BY rn DESC) AS back FROM (
-             SELECT *, coalesce(test_time_s - lag(test_time_s) OVER (PARTITION BY cell_id, cyc, d ORDER BY rn), 0) AS dt FROM (
-               SELECT *, pos BETWEEN 4 AND 19 AS d FROM fx_duty WHERE pos < 20) a) b) c
-          WHERE d OR EXISTS (SELECT 1 FROM fx_duty z WHERE z.cell_id = c.cell_id AND z.cyc = c.cyc AND z.pos = 4)""")
+           SELECT *, sum(abs(current_a)*dt/3600.0) OVER (PARTITION BY cell_id, cyc, part ORDER BY rn) AS used,
+             row_number() OVER (PARTITION BY cell_id, cyc, part ORDER BY rn DESC) AS back FROM (
+             SELECT f.*, f.part = 1 AS d, n.no, coalesce(test_time_s - lag(test_time_s) OVER (PARTITION BY f.cell_id, f.cyc, f.part ORDER BY rn), 0) AS dt
+             FROM run_files f JOIN (
+               SELECT u.cell_id, u.cyc, u.part, min(e.no) AS no FROM (SELECT DISTINCT cell_id, cyc, part FROM run_files) u
+               JOIN (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY cyc) AS no FROM run_dis) e
+               ON u.cell_id = e.cell_id AND e.cyc >= u.cyc + CASE WHEN u.part = 2 THEN 1 ELSE 0 END GROUP BY u.cell_id, u.cyc, u.part) n
+             ON f.cell_id = n.cell_id AND f.cyc = n.cyc AND f.part = n.part) b) c""")
 def _(spark, sf_dir):
-    d = fixtures.duty(spark, sf_dir).where("pos < 20").withColumn("is_d", F.col("pos").between(4, 19))
-    named = staged(d.withColumns({
-        "filename": F.concat_ws("_", "cell_id", "cyc", F.when(F.col("is_d"), "d").otherwise("c")), "seq": F.col("rn")}))
-    manifest = named.groupBy("filename", F.col("cell_id").alias("battery_id"), "cyc", "is_d").agg(F.count(F.lit(1))).select(
-        "filename", "battery_id", (F.col("cyc") * 2 + F.col("is_d").cast("int")).alias("uid"),
-        F.when(F.col("is_d"), "discharge").otherwise("charge").alias("type"), F.lit(0.4).alias("capacity"))
+    """Whole cycles: every sample of the log is in one of the run files; a charge takes the next discharge's number."""
+    part = F.when(F.col("pos") < 4, 0).when(F.col("pos") < 20, 1).otherwise(2)
+    d = fixtures.duty(spark, sf_dir).withColumn("part", part)
+    named = staged(d.withColumns({"filename": F.concat_ws("_", "cell_id", "cyc", "part"), "seq": F.col("rn")}))
+    manifest = named.groupBy("filename", F.col("cell_id").alias("battery_id"), "cyc", "part").agg(F.count(F.lit(1))).select(
+        "filename", "battery_id", (F.col("cyc") * 3 + F.col("part")).alias("uid"),
+        F.when(F.col("part") == 1, "discharge").otherwise("charge").alias("type"), F.lit(0.4).alias("capacity"))
     return scan.runs_with_manifest(named.drop("cell_id"), manifest)
 
 
