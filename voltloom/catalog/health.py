@@ -239,6 +239,78 @@ def _(spark, sf_dir):
     return priors.life_curves(_readings(spark, sf_dir))
 
 
+VIEWS["l_curve"] = """
+SELECT cell_id, pow(0.1/b.c, 1/b.p) AS life, b.p AS shape FROM (SELECT cell_id, min_by(struct_pack(c := c, p := p), struct_pack(s := sse, p := p)) AS b FROM (
+  SELECT cell_id, p, xf/xx AS c, ff - xf*xf/xx AS sse FROM (SELECT cell_id, p, sum(f*f) AS ff, sum(pow(CAST(x AS DOUBLE),p)*f) AS xf, sum(pow(CAST(x AS DOUBLE),p)*pow(CAST(x AS DOUBLE),p)) AS xx
+    FROM p_x, (SELECT round(CAST(0.3 AS DOUBLE) + unnest(range(0,55))*CAST(0.05 AS DOUBLE), 10) AS p) g GROUP BY cell_id, p) s WHERE xx > 0 AND xf > 0) t GROUP BY cell_id) u"""
+VIEWS["l_prior"] = """
+SELECT count(*) AS n_cells, avg(ln(life)) AS lm, greatest(stddev_samp(ln(life)), 0.25) AS ls, avg(shape) AS pm, greatest(stddev_samp(shape), 0.2) AS ps FROM l_curve WHERE life > 0"""
+
+
+@query("soh_life_prior", "n_cells:i log_life_mean:d6 log_life_sd:d6 shape_mean:d6 shape_sd:d6",
+       "SELECT n_cells, lm AS log_life_mean, ls AS log_life_sd, pm AS shape_mean, ps AS shape_sd FROM l_prior")
+def _(spark, sf_dir):
+    return priors.life_prior(priors.life_curves(_readings(spark, sf_dir)))
+
+
+def _grid_sql(points: str, sums: str) -> str:
+    """Life by shape for each cell: points has l0, ls_, p0, ps_, ff; sums has a and b for each j."""
+    return f"""
+SELECT *, ff - 2*c*a + c*c*b AS sse, -0.5*pow((ll-lm)/ls, 2) - 0.5*pow((sh-pm)/ps, 2) AS lprior FROM (
+  SELECT *, CAST(0.1 AS DOUBLE)*exp(-sh*ll) AS c FROM (SELECT t.*, s.j, s.a, s.b, g.i, t.l0 + g.i*t.lstep AS ll, t.p0 + s.j*t.pstep AS sh
+    FROM {points} t JOIN {sums} s ON t.cell_id = s.cell_id, (SELECT unnest(range(0, 241)) AS i) g) x) y, l_prior"""
+
+
+def _sums_sql(points: str) -> str:
+    return f"""
+SELECT h.cell_id, j, sum(pow(CAST(dx AS DOUBLE), p0 + j*pstep)*(1-soh)) AS a, sum(pow(pow(CAST(dx AS DOUBLE), p0 + j*pstep), 2)) AS b
+FROM p_h h JOIN {points} t ON h.cell_id = t.cell_id, (SELECT unnest(range(0, 55)) AS j) g GROUP BY h.cell_id, j"""
+
+
+VIEWS["l_p1"] = """
+SELECT h.*, lm - 5*ls AS l0, 10*ls/240 AS lstep, CAST(0.3 AS DOUBLE) AS p0, CAST(0.05 AS DOUBLE) AS pstep FROM (
+  SELECT cell_id, count(*) AS n, sum((1-soh)*(1-soh)) AS ff, max(dx) > 0 AS has, 40 - min(cycle) AS elapsed FROM p_h GROUP BY cell_id) h, l_prior"""
+VIEWS["l_s1"] = _sums_sql("l_p1")
+VIEWS["l_g1"] = _grid_sql("l_p1", "l_s1")
+VIEWS["l_res"] = """
+SELECT h.cell_id, h.cycle, soh - (1 - CAST(0.1 AS DOUBLE)*pow(dx/exp(best.ll), best.sh)) AS r FROM p_h h JOIN (
+  SELECT cell_id, min_by(struct_pack(ll := ll, sh := sh), struct_pack(o := sse - 2*0.0001*lprior, i := i, j := j)) AS best FROM l_g1 WHERE has GROUP BY cell_id) m ON h.cell_id = m.cell_id"""
+VIEWS["l_noise"] = """
+SELECT p.cell_id, CASE WHEN m.n >= 10 THEN greatest(rms, 0.005)*sqrt((1+rho)/(1-rho)) ELSE 0.01 END AS sigma FROM l_p1 p LEFT JOIN (
+  SELECT cell_id, count(*) AS n, sqrt(avg(r*r)) AS rms, least(greatest(CASE WHEN stddev_pop(r) > 0 THEN coalesce(corr(before, r), 0) ELSE 0 END, 0), 0.95) AS rho
+  FROM (SELECT *, lag(r) OVER (PARTITION BY cell_id ORDER BY cycle) AS before FROM l_res) q GROUP BY cell_id) m ON p.cell_id = m.cell_id"""
+VIEWS["l_w1"] = """
+SELECT *, exp(lp - max(lp) OVER (PARTITION BY cell_id)) AS w FROM (SELECT g.*, n.sigma, lprior - CASE WHEN has THEN 0.5*sse/(n.sigma*n.sigma) ELSE 0 END AS lp FROM l_g1 g JOIN l_noise n ON g.cell_id = n.cell_id) z"""
+
+
+def _margin_sql(weights: str, axis: str, value: str) -> str:
+    return f"""
+SELECT *, sum(w) OVER (PARTITION BY cell_id ORDER BY {axis}) / sum(w) OVER (PARTITION BY cell_id) AS cdf FROM (
+  SELECT cell_id, {axis}, sum(w) AS w, min({value}) AS val FROM {weights} GROUP BY cell_id, {axis}) m"""
+
+
+VIEWS["l_ml"], VIEWS["l_mp"] = _margin_sql("l_w1", "i", "ll"), _margin_sql("l_w1", "j", "sh")
+VIEWS["l_p2"] = """
+SELECT p.cell_id, p.n, p.ff, p.has, p.elapsed, l.lo - p.lstep AS l0, (l.hi - l.lo + 2*p.lstep)/240 AS lstep,
+  greatest(q.lo - p.pstep, 0.05) AS p0, (q.hi + p.pstep - greatest(q.lo - p.pstep, 0.05))/54 AS pstep FROM l_p1 p
+JOIN (SELECT cell_id, min(val) FILTER (cdf >= 1e-4 - 1e-12) AS lo, coalesce(min(val) FILTER (cdf >= 1 - 1e-4 - 1e-12), max(val)) AS hi FROM l_ml GROUP BY cell_id) l ON p.cell_id = l.cell_id
+JOIN (SELECT cell_id, min(val) FILTER (cdf >= 1e-4 - 1e-12) AS lo, coalesce(min(val) FILTER (cdf >= 1 - 1e-4 - 1e-12), max(val)) AS hi FROM l_mp GROUP BY cell_id) q ON p.cell_id = q.cell_id"""
+VIEWS["l_s2"] = _sums_sql("l_p2")
+VIEWS["l_g2"] = _grid_sql("l_p2", "l_s2")
+VIEWS["l_w2"] = VIEWS["l_w1"].replace("l_g1", "l_g2")
+VIEWS["l_m2"] = _margin_sql("l_w2", "i", "ll")
+
+
+@query("soh_posterior_life", "cell_id:s n_readings:i median:d3 lower:d3 upper:d3 sigma:d6",
+       """SELECT m.cell_id, min(p.n) AS n_readings, min(s.sigma) AS sigma, min(rul) FILTER (cdf >= 0.5 - 1e-12) AS median, min(rul) FILTER (cdf >= 0.1 - 1e-12) AS lower,
+          min(rul) FILTER (cdf >= 0.9 - 1e-12) AS upper FROM (SELECT m.*, greatest(exp(val) - p.elapsed, 0) AS rul FROM l_m2 m JOIN l_p2 p ON m.cell_id = p.cell_id) m
+          JOIN l_p2 p ON m.cell_id = p.cell_id JOIN l_noise s ON m.cell_id = s.cell_id GROUP BY m.cell_id""")
+def _(spark, sf_dir):
+    rows = _readings(spark, sf_dir)
+    prior = staged(priors.life_prior(priors.life_curves(rows)))
+    return priors.posterior_life(rows.where("cycle <= 40").withColumn("at_cycle", F.lit(40)), prior)
+
+
 # The same estimates every 5 cycles against an 0.85 threshold give long error tables.
 VIEWS["z_eol"] = "SELECT cell_id, min(CASE WHEN soh_smooth <= 0.85 THEN cycle END) AS true_eol, count(*) AS n, min(cycle) AS first_cycle FROM c_smooth GROUP BY cell_id"
 VIEWS["z_at"] = "SELECT cell_id, true_eol, first_cycle, unnest(range(30, CAST(true_eol AS BIGINT), 5)) AS at_c FROM z_eol WHERE n >= 30 AND true_eol IS NOT NULL"

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltloom.operators.ordered import exact_quantiles
+from voltloom.operators.ordered import exact_quantiles, lagged, with_ordinal
+from voltloom.session import staged
 
 THRESHOLD = 0.90
 SD_FLOOR = 0.25
@@ -204,3 +205,142 @@ def sibling_scores(lives: DataFrame) -> DataFrame:
         middle = exact_quantiles(rows, [], f"_{c}", {"m": 0.5}).select("m").scalar()
         out = out.withColumn(f"{c}_error", middle)
     return out
+
+
+# -- life and shape on a grid -------------------------------------------------
+LIFE_POINTS = 241
+SHAPE_SD_FLOOR, LARGEST_RHO = 0.2, 0.95
+#: Without a population: the middle and half width of the log life's grid.
+FLAT_LOG_LIFE, FLAT_HALF = 6.214608098422191, 6.0
+TAIL = 1e-4
+ESTIMATE = ["cell_id", "at_cycle"]
+
+
+def life_prior(lives: DataFrame) -> DataFrame:
+    """One row: mean and deviation of log life and of shape over cells; null under three cells."""
+    logs = F.ln("life")
+    agg = lives.where("life > 0 AND shape IS NOT NULL").agg(
+        F.count(F.lit(1)).alias("n_cells"), F.avg(logs).alias("_m"), F.stddev_samp(logs).alias("_s"),
+        F.avg("shape").alias("_pm"), F.stddev_samp("shape").alias("_ps"))
+    ok = F.col("n_cells") >= 3
+    return agg.select("n_cells", F.when(ok, F.col("_m")).alias("log_life_mean"),
+                      F.when(ok, F.greatest("_s", F.lit(SD_FLOOR))).alias("log_life_sd"),
+                      F.when(ok, F.col("_pm")).alias("shape_mean"),
+                      F.when(ok, F.greatest("_ps", F.lit(SHAPE_SD_FLOOR))).alias("shape_sd"))
+
+
+def _power_sums(rows: DataFrame, first: Column, step: Column) -> DataFrame:
+    """Per estimate, for each shape of its grid: sums of x^p f and of x^2p. One aggregate over the history."""
+    shapes = [first + j * step for j in range(len(SHAPES))]
+    power = [F.pow("_dx", p) for p in shapes]
+    return rows.groupBy(*ESTIMATE).agg(
+        F.array(*[F.sum(x * F.col("_f")) for x in power]).alias("_xf"), F.array(*[F.sum(x * x) for x in power]).alias("_xx"))
+
+
+def _laid_out(points: DataFrame, threshold: float) -> DataFrame:
+    """The grid of each estimate: log life by shape, with squared error and log prior.
+
+    The error at (L, p) is made of the estimate's sums: with c = (1 - threshold) / L^p it is ff - 2 c xf + c^2 xx.
+    """
+    rows = points.select("*", F.explode(F.sequence(F.lit(0), F.lit(LIFE_POINTS - 1))).alias("i"))
+    rows = rows.select("*", F.posexplode(F.arrays_zip("_xf", "_xx")).alias("j", "_s")).drop("_xf", "_xx")
+    rows = rows.withColumns({"log_life": F.col("_l0") + F.col("i") * F.col("_l_step"),
+                             "shape": F.col("_p0") + F.col("j") * F.col("_p_step")})
+    c = (1.0 - threshold) * F.exp(-F.col("shape") * F.col("log_life"))
+    z = (F.col("log_life") - F.col("_prior.log_life_mean")) / F.col("_prior.log_life_sd")
+    u = (F.col("shape") - F.col("_prior.shape_mean")) / F.col("_prior.shape_sd")
+    return rows.withColumns({
+        "sse": F.col("_ff") - 2.0 * c * F.col("_s._xf") + c * c * F.col("_s._xx"),
+        "log_prior": F.coalesce(-0.5 * z * z - 0.5 * u * u, F.lit(0.0))})
+
+
+def _posterior(laid: DataFrame) -> DataFrame:
+    """The grid with each point's weight (the largest is 1)."""
+    like = F.when(F.col("_has"), -0.5 * F.col("sse") / (F.col("sigma") * F.col("sigma"))).otherwise(0.0)
+    scored = laid.withColumn("_lp", F.col("log_prior") + like)
+    top = scored.groupBy(*ESTIMATE).agg(F.max("_lp").alias("_top"))
+    return scored.join(top, ESTIMATE).withColumn("_w", F.exp(F.col("_lp") - F.col("_top")))
+
+
+def _cumulated(weighed: DataFrame, axis: str, value: str) -> DataFrame:
+    """Marginal of one axis with its distribution function; an estimate has a few hundred rows."""
+    margin = weighed.groupBy(*ESTIMATE, axis).agg(F.sum("_w").alias("_w"), F.first(value).alias(value))
+    own = Window.partitionBy(*ESTIMATE)
+    upto = own.orderBy(axis).rowsBetween(Window.unboundedPreceding, 0)
+    return margin.withColumn("_cdf", F.sum("_w").over(upto) / F.sum("_w").over(own))
+
+
+def _at(share: float, value: str) -> Column:
+    return F.min(F.when(F.col("_cdf") >= share - 1e-12, F.col(value)))
+
+
+def _span(weighed: DataFrame, axis: str, value: str, name: str) -> DataFrame:
+    return _cumulated(weighed, axis, value).groupBy(*ESTIMATE).agg(
+        _at(TAIL, value).alias(f"_{name}_lo"), F.coalesce(_at(1 - TAIL, value), F.max(value)).alias(f"_{name}_hi"))
+
+
+def _curve_noise(rows: DataFrame, best: DataFrame, threshold: float) -> DataFrame:
+    """(estimate, sigma): misfit of the likeliest curve, widened for residuals that follow each other."""
+    r = F.col("_f") - (1.0 - threshold) * F.pow(F.col("_dx") / F.exp("_best.log_life"), F.col("_best.shape"))
+    res = with_ordinal(rows.join(best, ESTIMATE).withColumn("_r", -r), ESTIMATE, ["cycle", "soh"],
+                       F.floor(F.col("cycle") / 65_536.0), "_no")
+    follow = lagged(res, ESTIMATE, "_no", {"_before": "_r"})
+    agg = follow.groupBy(*ESTIMATE).agg(
+        F.count(F.lit(1)).alias("_n"), F.sqrt(F.avg(F.col("_r") * F.col("_r"))).alias("_rms"),
+        F.stddev_pop("_r").alias("_spread"), F.corr("_before", "_r").alias("_rho"))
+    known = (F.col("_spread") > 0) & F.col("_rho").isNotNull() & ~F.isnan("_rho")
+    rho = F.least(F.greatest(F.when(known, F.col("_rho")).otherwise(0.0), F.lit(0.0)), F.lit(LARGEST_RHO))
+    sigma = F.greatest("_rms", F.lit(SIGMA_FLOOR)) * F.sqrt((1.0 + rho) / (1.0 - rho))
+    return agg.select(*ESTIMATE, F.when(F.col("_n") >= MIN_FOR_SIGMA, sigma).otherwise(SIGMA_DEFAULT).alias("_noise"))
+
+
+def posterior_life(history: DataFrame, prior: DataFrame | None = None, threshold: float = THRESHOLD,
+                   coverage: float = 0.80) -> DataFrame:
+    """Remaining cycles per (cell_id, at_cycle) under a fade (1 - threshold) (x / life)^shape.
+
+    ``history`` holds the readings at or before each estimate (cell_id,
+    at_cycle, cycle, soh), ``prior`` the row of ``life_prior``; without one, or
+    with null in it, every life and shape is as likely. A coarse grid over the
+    prior's range gives the noise (of the likeliest curve's residuals) and the
+    range where the posterior lies; a second grid over that range gives median
+    and interval. The history is read three times, as sums, never spread over
+    a grid. Null or infinite readings take no part; an estimate without a
+    reading has no row.
+    """
+    if prior is None:
+        prior = history.sparkSession.range(1).select(*(F.lit(None).cast("double").alias(c) for c in (
+            "log_life_mean", "log_life_sd", "shape_mean", "shape_sd")))
+    read = history.where((F.col("cycle") <= F.col("at_cycle")) & F.col("soh").isNotNull() & ~F.isnan(F.col("soh").cast("double"))
+                         & (F.abs("soh") < float("inf")))
+    first = read.groupBy(*ESTIMATE).agg(F.min("cycle").alias("_x0"))
+    rows = staged(read.join(first, ESTIMATE).select(*ESTIMATE, "cycle", "soh", (F.col("cycle") - F.col("_x0")).cast("double").alias("_dx"),
+                                                    (1.0 - F.col("soh")).alias("_f")))
+    known = prior.select(F.struct("log_life_mean", "log_life_sd", "shape_mean", "shape_sd")).scalar()
+    base = rows.groupBy(*ESTIMATE).agg(
+        F.count(F.lit(1)).alias("n_readings"), F.sum(F.col("_f") * F.col("_f")).alias("_ff"),
+        (F.max("_dx") > 0).alias("_has"), F.min(F.col("cycle") - F.col("_dx")).alias("_x0")).withColumn("_prior", known)
+    middle = F.coalesce("_prior.log_life_mean", F.lit(FLAT_LOG_LIFE))
+    half = F.coalesce(GRID_SPAN_SD * F.col("_prior.log_life_sd"), F.lit(FLAT_HALF))
+    coarse = F.lit(SHAPES[0]), F.lit(round(SHAPES[1] - SHAPES[0], 10))
+    points = staged(base.join(_power_sums(rows, *coarse), ESTIMATE).withColumns({
+        "_l0": middle - half, "_l_step": 2.0 * half / (LIFE_POINTS - 1), "_p0": coarse[0], "_p_step": coarse[1]}))
+    laid = _laid_out(points, threshold)
+    merit = F.struct((F.col("sse") - 2.0 * SIGMA_DEFAULT ** 2 * F.col("log_prior")).alias("o"), "i", "j")
+    best = laid.where("_has").groupBy(*ESTIMATE).agg(F.min_by(F.struct("log_life", "shape"), merit).alias("_best"))
+    noise = _curve_noise(rows, best, threshold)
+    points = staged(points.join(noise, ESTIMATE, "left").withColumn("sigma", F.coalesce("_noise", F.lit(SIGMA_DEFAULT))).drop("_noise"))
+    weighed = _posterior(_laid_out(points, threshold))
+    spans = _span(weighed, "i", "log_life", "l").join(_span(weighed, "j", "shape", "p"), ESTIMATE)
+    low = F.greatest(F.col("_p_lo") - F.col("_p_step"), F.lit(0.05))
+    finer = points.drop("_xf", "_xx").join(spans, ESTIMATE).withColumns({
+        "_p_step": (F.col("_p_hi") + F.col("_p_step") - low) / (len(SHAPES) - 1), "_p0": low,
+        "_l_step": (F.col("_l_hi") - F.col("_l_lo") + 2.0 * F.col("_l_step")) / (LIFE_POINTS - 1),
+        "_l0": F.col("_l_lo") - F.col("_l_step")})
+    finer = staged(finer)
+    sums = _power_sums(rows.join(finer.select(*ESTIMATE, "_p0", "_p_step"), ESTIMATE), F.col("_p0"), F.col("_p_step"))
+    fine = _posterior(_laid_out(finer.join(sums, ESTIMATE), threshold))
+    last = _cumulated(fine, "i", "log_life").join(finer.select(*ESTIMATE, "_x0", "n_readings", "sigma"), ESTIMATE)
+    left = last.withColumn("_rul", F.greatest(F.exp("log_life") - (F.col("at_cycle") - F.col("_x0")), F.lit(0.0)))
+    tail = (1.0 - coverage) / 2.0
+    return left.groupBy(*ESTIMATE).agg(_at(0.5, "_rul").alias("median"), _at(tail, "_rul").alias("lower"), _at(1.0 - tail, "_rul").alias("upper"),
+                                       F.first("n_readings").alias("n_readings"), F.first("sigma").alias("sigma"))
