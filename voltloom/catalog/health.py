@@ -10,7 +10,7 @@ from voltloom.catalog.duty_views import screened_sql, soh_views, window_sql
 from voltloom.catalog.life import cycle_frame, targets
 from voltloom.catalog.sequence import _charges, duty_log, gated_table
 from voltloom.catalog.views import VIEWS
-from voltloom.operators import curves, life, partial, phases, priors, soh, twin
+from voltloom.operators import curves, incremental, life, partial, phases, priors, soh, twin
 from voltloom.plans import studies
 from voltloom.session import staged
 
@@ -133,6 +133,35 @@ def _(spark, sf_dir):
     return partial.delta_q_variance(lines, 2, 12)
 
 
+# The cubic that fits 51 points best, by orthogonal polynomials of the place in the window.
+VIEWS["i_at"] = """
+SELECT cell_id, cycle, g, q, g - min(g) OVER w AS i, count(*) OVER w AS n, min(g) OVER w AS g0 FROM q_grid WINDOW w AS (PARTITION BY cell_id, cycle)"""
+VIEWS["i_norm"] = "SELECT sum(k*k) AS s2, sum(k*k*k*k) AS s4, count(*) AS s0 FROM (SELECT CAST(unnest(range(-25, 26)) AS DOUBLE) AS k) r"
+VIEWS["i_poly"] = """
+SELECT k, k*k - s2/s0 AS p2, k*k*k - s4/s2*k AS p3, s0, s2, sum(pow(k*k - s2/s0, 2)) OVER () AS n2, sum(pow(k*k*k - s4/s2*k, 2)) OVER () AS n3
+FROM (SELECT CAST(unnest(range(-25, 26)) AS DOUBLE) AS k) r, i_norm"""
+VIEWS["i_smooth"] = """
+SELECT a.cell_id, a.cycle, a.i, min(a.n) AS n, min(a.g0) AS g0, sum(b.q*(1/s0 + k*r/s2 + p2*(r*r - s2/s0)/n2 + p3*(r*r*r - s4*r/s2)/n3)) AS y
+FROM (SELECT *, greatest(0, least(i - 25, n - 51)) AS start, CAST(i - greatest(0, least(i - 25, n - 51)) - 25 AS DOUBLE) AS r FROM i_at WHERE n >= 51) a
+JOIN i_at b ON a.cell_id = b.cell_id AND a.cycle = b.cycle AND b.i BETWEEN a.start AND a.start + 50
+JOIN (SELECT p.*, m.s4 FROM i_poly p, i_norm m) z ON z.k = b.i - a.start - 25 GROUP BY a.cell_id, a.cycle, a.i"""
+VIEWS["i_slope"] = """
+SELECT *, (coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y)) / (CASE WHEN i = 0 OR i = n - 1 THEN 1 ELSE 2 END * (CAST(2.2 AS DOUBLE)/999)) AS d
+FROM i_smooth WINDOW w AS (PARTITION BY cell_id, cycle ORDER BY i)"""
+
+
+@query("seg_ica_peak_features", "cell_id:s cycle:i n_grid:i ica_peak_height:d5 ica_peak_voltage:d5 ica_area:d5",
+       """SELECT c.cell_id, c.cycle, c.n_grid, s.d AS ica_peak_height, s.v AS ica_peak_voltage, a.area AS ica_area FROM (SELECT cell_id, cycle, count(*) AS n_grid FROM q_grid GROUP BY cell_id, cycle) c
+          LEFT JOIN (SELECT *, 2.0 + (g0 + i)*(CAST(2.2 AS DOUBLE)/999) AS v, row_number() OVER (PARTITION BY cell_id, cycle ORDER BY round(abs(d), 9) DESC, i) AS k FROM i_slope) s
+            ON c.cell_id = s.cell_id AND c.cycle = s.cycle AND s.k = 1
+          LEFT JOIN (SELECT cell_id, cycle, sum((abs(d) + abs(d1))/2)*(CAST(2.2 AS DOUBLE)/999) AS area FROM (
+            SELECT *, lead(d) OVER (PARTITION BY cell_id, cycle ORDER BY i) AS d1 FROM i_slope) z WHERE d1 IS NOT NULL GROUP BY cell_id, cycle) a
+            ON c.cell_id = a.cell_id AND c.cycle = a.cycle""")
+def _(spark, sf_dir):
+    lines = curves.discharge_curves(phases.segment(duty_log(spark, sf_dir)))
+    return incremental.peak_features(incremental.incremental_capacity(lines, (2, 12)))
+
+
 # -- battery memory ---------------------------------------------------------
 @query("str_battery_memory_query", "cell_id:s soh:d6 n_accepted:i n_discharges:i",
        "SELECT * FROM s_report")

@@ -141,17 +141,16 @@ def full_discharges(discharges: DataFrame, tolerance_v: float = 0.10, fraction:
     return joined.withColumns({"is_full": full & ~bad, "cell_refused": bad}).drop("_a", "_b", "_max")
 
 
-def delta_q_variance(curves: DataFrame, cycle_a: int, cycle_b: int, low: float = 2.0, high: float = 4.2,
-                     points: int = 1000, least: int = 50) -> DataFrame:
-    """log10 of the variance of Q_b(V) - Q_a(V) over a voltage grid; null under 50 usable volts.
+def on_voltage_grid(curves: DataFrame, low: float = 2.0, high: float = 4.2, points: int = 1000) -> DataFrame:
+    """(cell_id, cycle, _g, _q): charge at even volts, none outside a curve's own range.
 
     Each segment between neighbouring samples covers a few grid points, which
     it produces itself; curves and grid are never joined against each other.
+    A grid point on the border of two segments comes twice.
     """
-    two = curves.where(F.col("cycle").isin(cycle_a, cycle_b))
     w = Window.partitionBy("cell_id", "cycle").orderBy("voltage_v", "test_time_s")
     step = (high - low) / (points - 1)
-    seg = two.withColumns({"_v1": F.lead("voltage_v").over(w), "_q1": F.lead("capacity_ah_curve").over(w)}).where(
+    seg = curves.withColumns({"_v1": F.lead("voltage_v").over(w), "_q1": F.lead("capacity_ah_curve").over(w)}).where(
         "_v1 IS NOT NULL AND _v1 > voltage_v")
     first = F.greatest(F.ceil((F.col("voltage_v") - low) / step), F.lit(0)).cast("int")
     last = F.least(F.floor((F.col("_v1") - low) / step), F.lit(points - 1)).cast("int")
@@ -159,7 +158,14 @@ def delta_q_variance(curves: DataFrame, cycle_a: int, cycle_b: int, low: float =
         "_x", low + F.col("_g") * step)
     q = F.col("capacity_ah_curve") + (F.col("_q1") - F.col("capacity_ah_curve")) * (
         (F.col("_x") - F.col("voltage_v")) / (F.col("_v1") - F.col("voltage_v")))
-    on_grid = laid.withColumn("_q", q).groupBy("cell_id", "_g").agg(
+    return laid.select("cell_id", "cycle", "_g", q.alias("_q"))
+
+
+def delta_q_variance(curves: DataFrame, cycle_a: int, cycle_b: int, low: float = 2.0, high: float = 4.2,
+                     points: int = 1000, least: int = 50) -> DataFrame:
+    """log10 of the variance of Q_b(V) - Q_a(V) over a voltage grid; null under 50 usable volts."""
+    laid = on_voltage_grid(curves.where(F.col("cycle").isin(cycle_a, cycle_b)), low, high, points)
+    on_grid = laid.groupBy("cell_id", "_g").agg(
         F.max(F.when(F.col("cycle") == cycle_a, F.col("_q"))).alias("_a"),
         F.max(F.when(F.col("cycle") == cycle_b, F.col("_q"))).alias("_b"))
     diff = F.col("_b") - F.col("_a")
