@@ -320,6 +320,19 @@ def test_bit_sliced_distances(radius):
     assert got == want
 
 
+@pytest.mark.parametrize("part", [5, 1 << 18])
+def test_fingerprints_of_parts_equal_those_of_whole_texts(monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART_BYTES", part)
+    monkeypatch.setattr(simhash, "COUNTED", 7)
+    raws = [t.encode() if t is not None else None for t in TEXTS] + [b"x" * 400_000 + b"\x0b y", b" a b  c ", b"a b c d", b"A\tb c d e", b" \n "]
+    got = simhash.fingerprints(raws).view(np.uint64).tolist()
+    for raw, mine in zip(raws, got, strict=True):
+        words = (raw or b"").lower().split()
+        shingles = [b" ".join(words[i:i + 4]) for i in range(len(words) - 3)] or ([b" ".join(words)] if words else [])
+        hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+        assert mine == sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 

@@ -35,8 +35,10 @@ def crc_fold(key: str | Column, folds: int) -> Column:
 
 
 def append(df: DataFrame, new: Mapping[str, T.DataType],
-           work: Callable[[pa.RecordBatch], Mapping[str, Sequence]]) -> DataFrame:
-    """All columns of ``df`` and the new ones that ``work`` computes from each Arrow batch.
+           work: Callable[[pa.RecordBatch], Mapping[str, Sequence]], done: Callable[[], None] | None = None) -> DataFrame:
+    """All columns of ``df`` and the new ones that ``work`` computes from each Arrow batch, ``SLICE_ROWS`` rows at a time.
+
+    ``done`` is called at a partition's end, to let go of what ``work`` keeps.
 
     A column of ``df`` that has the name of a new one is replaced, so a name
     in ``new`` must not be one that ``work`` reads.
@@ -46,12 +48,14 @@ def append(df: DataFrame, new: Mapping[str, T.DataType],
     kinds = {k: to_arrow_type(v) for k, v in new.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            got = work(batch)
-            columns = [*batch.columns, *(pa.array(got[k], kind) for k, kind in kinds.items())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *kinds])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(start, SLICE_ROWS)
+                got = work(batch)
+                columns = [*batch.columns, *(pa.array(got[k], kind) for k, kind in kinds.items())]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *kinds])
+        if done:
+            done()
 
     return df.select(*(F.col(f"`{f.name}`") for f in keep)).mapInArrow(run, schema)
 

@@ -41,8 +41,8 @@ SPLIT = regex.compile(
 SPLIT_ASCII = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
-#: Pieces remembered by one Python worker (a few tens of MB); the next text beyond it starts anew.
-REMEMBERED = 500_000
+#: Pieces remembered inside one partition (some 25 MB); the next text beyond it starts anew.
+REMEMBERED = 200_000
 
 OUTPUTS = {
     "n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType(),
@@ -196,4 +196,8 @@ def encode_decode(df: DataFrame, vocabulary: str, text: str = "text",
                 out[k].append(got[k])
         return out
 
-    return append(df, {k: OUTPUTS[k] for k in wanted}, work)
+    def done() -> None:
+        if name in _LOADED:
+            _LOADED[name].known.clear()
+
+    return append(df, {k: OUTPUTS[k] for k in wanted}, work, done)

@@ -41,7 +41,9 @@ DIMENSIONS = 1024
 SEED = 20_240_607
 UNKNOWN = "und"
 #: Cells of one table of counts.
-CELLS = 1 << 22
+CELLS = 1 << 20
+#: Letter groups whose vectors are made at one time.
+VECTORS = 2048
 
 
 @lru_cache(maxsize=1)
@@ -98,9 +100,9 @@ def bundle(owner: np.ndarray, groups: np.ndarray, n: int, dimensions: int, seed:
         part = slice(bounds[i], bounds[i + 1])
         cells = (owner[part] - start).astype(np.int64) * width + place[groups[part]]
         counts = np.bincount(cells, minlength=rows * width).reshape(rows, width)
-        for k in range(0, width, 8192):
-            out[start:start + rows] += (counts[:, k:k + 8192].astype(np.float32)
-                                        @ group_vectors(present[k:k + 8192], dimensions, seed))
+        for k in range(0, width, VECTORS):
+            out[start:start + rows] += (counts[:, k:k + VECTORS].astype(np.float32)
+                                        @ group_vectors(present[k:k + VECTORS], dimensions, seed))
     return out
 
 
@@ -139,8 +141,8 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
     def prototype(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(dimensions)
         groups, counts = rows["letters"].to_numpy(), rows["n"].to_numpy().astype(np.float64)
-        for i in range(0, len(groups), 8192):
-            total += counts[i:i + 8192] @ group_vectors(groups[i:i + 8192], dimensions, seed)
+        for i in range(0, len(groups), VECTORS):
+            total += counts[i:i + VECTORS] @ group_vectors(groups[i:i + VECTORS], dimensions, seed)
         return pd.DataFrame({"lang": [key[0]], "vector": [total / (np.linalg.norm(total) or 1.0)]})
 
     counts = language_counts(df.where(F.col(lang).isNotNull()), text, lang)

@@ -26,7 +26,8 @@ that repeat a key count like others. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -36,52 +37,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltloom.llm.base import append, partitions, slices, staged
+from voltloom.llm.base import append, partitions, staged
 from voltloom.llm.components import connected, forest, whole_units
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: First bits of the six blocks, and the end.
 BLOCKS = (0, 11, 22, 33, 44, 54, 64)
+#: A text is cut into words in parts of about so many bytes, and the bits of so many shingles are counted at a time.
+PART_BYTES, COUNTED = 1 << 18, 1 << 14
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 TILE = 2048
 WORDS = 4096  # words of one set of bit planes
 ENTRIES = 1 << 16  # (fingerprint, word) pairs compared at a time
 
 
-def shingle_hashes(raw: bytes | None, size: int, seed: int) -> list[int]:
-    """XXH64 of all shingles of the lower-cased words (of the whole sequence, if it is shorter)."""
-    words = raw.lower().split() if raw else []
-    if not words:
-        return []
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) < size:
-        return [digest(joined, seed)]
-    starts = [0, *accumulate(len(w) + 1 for w in words)]
-    return [digest(joined[a:b - 1], seed) for a, b in zip(starts, starts[size:])]
-
-
-def fingerprints(raws: list[bytes | None], size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """A 64-bit fingerprint of each text, as signed numbers."""
-    hashes = [shingle_hashes(r, size, seed) for r in raws]
-    counts = np.array([len(h) for h in hashes])
-    out = np.zeros(len(raws), np.uint64)
-    some = np.flatnonzero(counts)
-    if len(some):
-        flat = np.array([x for h in hashes for x in h], np.uint64)
-        bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = np.cumsum(counts[some]) - counts[some]
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        on = (2 * ones > counts[some][:, None]).astype(np.uint8)
-        out[some] = np.packbits(on, axis=1, bitorder="little").view(np.uint64).ravel()
-    return out.view(np.int64)
+def shingle_hashes(raw: bytes | None, size: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of all shingles of the lower-cased words (of the whole sequence, if it is shorter), in bounded parts."""
+    digest = xxhash.xxh64_intdigest
+    words: list[bytes] = []
+    start, whole, short = 0, (raw or b"").lower(), True
+    while start < len(whole):
+        space = SPACE.search(whole, start + PART_BYTES)
+        end = space.start() if space else len(whole)
+        words = (words[1 - size:] if size > 1 else []) + whole[start:end].split()
+        if len(words) >= size:
+            joined, short = b" ".join(words), False
+            starts = [0, *accumulate(len(w) + 1 for w in words)]
+            yield np.array([digest(joined[a:b - 1], seed) for a, b in zip(starts, starts[size:])], np.uint64)
+        start = end
+    if short and words:
+        yield np.array([digest(b" ".join(words), seed)], np.uint64)
+
+
+def fingerprints(raws: Iterable[bytes | None], size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """A 64-bit fingerprint of each text, as signed numbers; bits are counted for ``COUNTED`` shingles at a time."""
+    sums: list[np.ndarray] = []
+    owners: list[int] = []
+    parts: list[np.ndarray] = []
+    n = held = 0
+
+    def count() -> None:
+        lengths = np.array([len(p) for p in parts])
+        bits = np.unpackbits(np.concatenate(parts).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, np.cumsum(lengths) - lengths, axis=0, dtype=np.int64)
+        sums.extend(2 * ones - lengths[:, None])
+        parts.clear()
+
+    for n, raw in enumerate(raws, 1):
+        for hashes in shingle_hashes(raw, size, seed):
+            for at in range(0, len(hashes), COUNTED):
+                parts.append(hashes[at:at + COUNTED])
+                owners.append(n - 1)
+                held += len(parts[-1])
+                if held >= COUNTED:
+                    count()
+                    held = 0
+    if parts:
+        count()
+    surplus = np.zeros((n, 64), np.int64)
+    if owners:
+        np.add.at(surplus, owners, np.array(sums))
+    return np.packbits((surplus > 0).astype(np.uint8), axis=1, bitorder="little").view(np.int64).ravel()
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint",
                      size: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``df`` with the fingerprint of each whole text as a long."""
     def work(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        raws = batch.column(batch.schema.names.index(text)).cast(pa.binary()).to_pylist()
-        parts = [fingerprints(raws[a:b], size, seed) for a, b in slices(raws)]
-        return {out: np.concatenate(parts)}
+        column = batch.column(batch.schema.names.index(text)).cast(pa.binary())
+        return {out: fingerprints((value.as_py() for value in column), size, seed)}
 
     return append(df, {out: T.LongType()}, work)
 

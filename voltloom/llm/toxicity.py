@@ -179,8 +179,12 @@ class Places(dict):
 def score(df: DataFrame, model: Machine, text: str = "text", threshold: float = THRESHOLD,
           out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``df`` with score (0 to 1) and predicted (1 from the threshold on)."""
+    kept: list[Places] = []  # one for a task's slices
+
     def work(batch: pa.RecordBatch) -> dict[str, list]:
-        places, scores = Places(model.terms), []
+        if not kept:
+            kept.append(Places(model.terms))
+        places, scores = kept[0], []
         for value in batch.column(batch.schema.names.index(text)):
             if len(places) > REMEMBERED:
                 places.clear()
