@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltloom.llm.base import append, crc_fold, slices
+from voltloom.llm.base import append, crc_fold, let_go, slices
 
 #: Letters are 1 to 63 (a to z have numbers of their own, others share 27 to 63); 0 is all else.
 LETTERS = 64
@@ -123,6 +123,8 @@ def language_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
                     yield from emit(seen)
                     seen.clear()
         yield from emit(seen)
+        seen.clear()
+        let_go()
 
     def emit(seen: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for name, counts in seen.items():
