@@ -182,8 +182,7 @@ FROM (SELECT *, health_top_causes AS primary_causes, health_dominant_cause AS do
   CASE battery_state WHEN 'CRITICAL' THEN 'Immediate inspection and battery replacement'
     WHEN 'DEGRADED' THEN 'Reduce fast charging and monitor temperature'
     WHEN 'WARNING' THEN 'Maintain SOC between 20 and 80 percent' ELSE 'Continue normal operation' END AS recommendation,
-  CASE WHEN avg_temp > 35 THEN 'Reduce heat exposure: this battery averaged ' || printf('%.1f', avg_temp) || ' °C.'
-    ELSE 'Heat exposure is not flagged: this battery averaged ' || printf('%.1f', avg_temp) || ' °C, at or below 35 °C.' END AS heat_advice
+  'mean temperature ' || printf('%.1f', avg_temp) || ' °C, ' || CASE WHEN avg_temp > 35 THEN 'above' ELSE 'within' END || ' the cut point of 35' AS heat_advice
  FROM cause_rows) g
 """
 
