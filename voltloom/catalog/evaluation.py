@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voltloom.catalog.base import query
 from voltloom.catalog.life import cycle_frame, targets
 from voltloom.catalog.views import VIEWS, draw_sql
-from voltloom.operators import conformal, evaluate
+from voltloom.operators import conformal, coverage, evaluate
 from voltloom.session import staged
 
 
@@ -239,3 +239,47 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     return evaluate.cross_validate(_rows(spark, sf_dir), evaluate.AGE_QUADRATIC, "cumulative_fade",
                                    "cohort", "LOCO").fillna("", ["error"])
+
+
+# -- skill by the number of cohorts seen ----------------------------------------
+VIEWS["k_sub"] = f"""
+SELECT k, rep, cohort FROM (SELECT *, row_number() OVER (PARTITION BY k, rep ORDER BY {draw_sql(coverage.SEED, 'CAST(k AS BIGINT)', 'CAST(rep AS BIGINT)', "CAST('0x' || substr(md5(cohort),1,8) AS BIGINT)")}, cohort) AS r FROM (
+  SELECT c.cohort, n, unnest(range(3, n + 1)) AS k FROM (SELECT cohort, count(*) OVER () AS n FROM (SELECT cohort FROM v_rows GROUP BY cohort HAVING count(DISTINCT cell_id) >= 2) a) c) b,
+  (SELECT unnest(range(0, 5)) AS rep) p WHERE k < n OR rep = 0) d WHERE r <= k"""
+VIEWS["k_rows"] = """
+SELECT s.k, s.rep, x.model, t.cohort, t.cell_id, t.cumulative_fade AS y, CASE WHEN x.model = 'temp' THEN t.avg_temp ELSE t.cycle END AS x
+FROM k_sub s JOIN v_rows t ON s.cohort = t.cohort, (SELECT unnest(['temp', 'age_linear']) AS model) x"""
+
+
+def _folds_sql(group: str) -> str:
+    """Each fold refitted on the rows of the other groups of its subset."""
+    return f"""
+SELECT k, rep, model, quantile_cont(r2, 0.5) AS r2 FROM (
+  SELECT t.k, t.rep, t.model, t.{group}, 1 - sum(pow(y - f.b - f.m*x, 2))/sum(pow(y - f.mean, 2)) AS r2 FROM k_rows t JOIN (
+    SELECT g.k, g.rep, g.model, g.{group}, regr_slope(y, x) AS m, regr_intercept(y, x) AS b, avg(y) AS mean
+    FROM (SELECT DISTINCT k, rep, model, {group} FROM k_rows) g JOIN k_rows t ON t.k = g.k AND t.rep = g.rep AND t.model = g.model AND t.{group} <> g.{group}
+    GROUP BY g.k, g.rep, g.model, g.{group}) f ON t.k = f.k AND t.rep = f.rep AND t.model = f.model AND t.{group} = f.{group}
+  GROUP BY t.k, t.rep, t.model, t.{group} HAVING count(*) >= 10) z GROUP BY k, rep, model"""
+
+
+VIEWS["k_lobo"], VIEWS["k_loco"] = _folds_sql("cell_id"), _folds_sql("cohort")
+VIEWS["k_points"] = """
+SELECT n.k AS n_cohorts, n.rep AS repeat, n.model, n.n_cells, n.n_rows, l.r2 AS lobo_r2, c.r2 AS loco_r2, c.r2 - l.r2 AS gap FROM (
+  SELECT k, rep, model, count(DISTINCT cell_id) AS n_cells, count(*) AS n_rows FROM k_rows GROUP BY k, rep, model) n
+LEFT JOIN k_lobo l ON n.k = l.k AND n.rep = l.rep AND n.model = l.model LEFT JOIN k_loco c ON n.k = c.k AND n.rep = c.rep AND n.model = c.model"""
+
+
+def _sweep(spark, sf_dir):
+    return coverage.coverage_sweep(_rows(spark, sf_dir), [TEMP, evaluate.AGE_LINEAR], "cumulative_fade")
+
+
+@query("val_coverage_sweep", "n_cohorts:i repeat:i model:s n_cells:i n_rows:i lobo_r2:d4 loco_r2:d4 gap:d4", "SELECT * FROM k_points")
+def _(spark, sf_dir):
+    return _sweep(spark, sf_dir)
+
+
+@query("val_coverage_sweep_summary", "model:s n_cohorts:i n_subsets:i mean_cells:d4 lobo_r2:d4 loco_r2:d4 gap:d4 gap_spread:d4",
+       """SELECT model, n_cohorts, count(*) AS n_subsets, avg(n_cells) AS mean_cells, quantile_cont(lobo_r2, 0.5) AS lobo_r2, quantile_cont(loco_r2, 0.5) AS loco_r2,
+          quantile_cont(gap, 0.5) AS gap, max(gap) - min(gap) AS gap_spread FROM k_points GROUP BY model, n_cohorts""")
+def _(spark, sf_dir):
+    return coverage.sweep_summary(staged(_sweep(spark, sf_dir)))
