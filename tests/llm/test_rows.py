@@ -254,3 +254,16 @@ def test_repeated_and_missing_ids_keep_one_row_of_a_group(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
+
+
+def test_top_k_of_more_dimensions_than_pivots(spark):
+    """Two to three vectors of each of 1,200 dimensions; a query meets those of its own dimension."""
+    rows = spark.range(1, 2801).selectExpr("id AS vec_id", "id % 1200 + 1 AS dim", "id % 7 - 3 AS x")
+    df = rows.selectExpr("vec_id", "array_repeat(CAST(x AS DOUBLE), CAST(dim AS INT)) AS embedding")
+    got = sorted(tuple(r) for r in knn.top_k(df, F.col("id") % 50 == 0).collect())
+    want = []
+    for q in range(50, 2801, 50):
+        others = [i for i in range(1, 2801) if i != q and i % 1200 == q % 1200]
+        scored = sorted((-256 * 256 * (q % 1200 + 1) * (q % 7 - 3) * (i % 7 - 3), i) for i in others)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    assert got == sorted(want)

@@ -17,7 +17,9 @@ Scale. Cells of queries are cut into tiles of ``query_tile``, what a tile
 needs of the data is dealt to slices of about ``slice_rows`` rows, and a task
 streams its slice past the tile, holding k results per query only. Every
 slice hands over k rows per query; the last step ranks those. The pivots are a
-bounded sample (``pivots`` vectors).
+bounded sample (``pivots`` vectors); a dimension that the sample lacks is one
+cell around the origin. The driver sees a row per cell: ``pivots`` of them, and
+one for each further length that vectors of the table have.
 
 Defined results: components are floor(256 x) in double precision. A vector
 that is null, or has a null or non-finite component, takes no part; nor does a
@@ -61,6 +63,13 @@ def longs(column: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(column), len(flat) // max(1, len(column)))
 
 
+class Pivots(dict):
+    """The pivots of each dimension; one without a sampled vector has the origin alone."""
+
+    def __missing__(self, dim: int) -> np.ndarray:
+        return np.zeros((1, dim))
+
+
 def with_cell(df: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     """``df`` with the nearest pivot's number, the distance from it (rounded up) and the length."""
     names = [f.name for f in df.schema.fields]
@@ -141,11 +150,10 @@ def top_k(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "e
     spark = df.sparkSession
     numbers = whole_numbers(df, key, vector)
     sample = bounded_sample(numbers.select("id", "v", "dim"), "id", pivots, seed).collect()
-    sample += [r for r in numbers.groupBy("dim").agg(F.min("v").alias("v")).limit(1024).collect()]
     centres: dict[int, list] = {}
     for r in sample:
         centres.setdefault(r["dim"], []).append(r["v"])
-    chosen = {d: np.unique(np.array(v, np.float64).reshape(len(v), -1), axis=0) for d, v in centres.items()}
+    chosen = Pivots({d: np.unique(np.array(v, np.float64).reshape(len(v), -1), axis=0) for d, v in centres.items()})
     data = staged(with_cell(numbers, chosen))
     queries = data.where(is_query).dropDuplicates(["id", "v"])
 
