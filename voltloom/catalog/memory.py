@@ -19,8 +19,7 @@ def remembered(spark, sf_dir) -> Memory:
         "piece_id", F.least(F.floor(F.col("cyc") / 7), F.lit(2)))
     memory = Memory(spark, f"{shared_dir(spark).rstrip('/')}/memory/{uuid.uuid4().hex}")
     again = lambda n: log.where(F.col("piece_id") == n).withColumn("piece_id", F.lit(10 + n).cast("bigint"))
-    for delivery in (log.where("piece_id = 2"), log.where("piece_id = 0").unionByName(again(2)),
-                     log.where("piece_id = 1").unionByName(again(0)), log):
+    for delivery in (log.where("piece_id = 2"), log.where("piece_id < 2").unionByName(again(2)).unionByName(again(0))):
         memory.absorb(delivery, chunk_s=fixtures.DUTY_CHUNK_S)
     return memory
 
