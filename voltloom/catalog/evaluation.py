@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voltloom.catalog.base import query
 from voltloom.catalog.life import cycle_frame, targets
 from voltloom.catalog.views import VIEWS, draw_sql
-from voltloom.operators import conformal, coverage, evaluate
+from voltloom.operators import conformal, coverage, evaluate, life, physics
 from voltloom.session import staged
 
 
@@ -77,6 +77,59 @@ def _(spark, sf_dir):
                                    "cohort", "LOCO").fillna("", ["error"])
 
 
+# -- physics models ----------------------------------------------------------
+
+VIEWS["vp_trail"] = """
+SELECT cell_id, cycle, CASE WHEN count(avg_temp) OVER w >= 2 THEN avg(avg_temp) OVER w END AS trailing_avg_temp
+FROM c_targets WINDOW w AS (PARTITION BY cell_id ORDER BY cycle ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"""
+VIEWS["vp_rows"] = "SELECT * FROM v_rows WHERE avg_temp IS NOT NULL AND cycle IS NOT NULL"
+VIEWS["vq_rows"] = """
+SELECT v.*, t.trailing_avg_temp FROM v_rows v JOIN vp_trail t ON v.cell_id = t.cell_id AND v.cycle = t.cycle
+WHERE t.trailing_avg_temp IS NOT NULL"""
+
+
+def fade_law_views(p: str, temperature: str, group: str) -> dict[str, str]:
+    """The folds of the fade law, refitted on the complement of every group."""
+    out = fold_views(p, f"{p}_rows", "cumulative_fade", None, group)
+    out[f"{p}_axes"] = f"""
+SELECT *, CASE WHEN {temperature} > -273.15 AND cycle > 0 THEN 1000.0/({temperature} + 273.15) - 1000.0/298.15 END AS a,
+  CASE WHEN {temperature} > -273.15 AND cycle > 0 THEN ln(CAST(cycle AS DOUBLE)) END AS b,
+  CASE WHEN {temperature} > -273.15 AND cycle > 0 AND cumulative_fade > 0 THEN ln(cumulative_fade) END AS y FROM {p}_rows"""
+    out[f"{p}_moments"] = f"""
+SELECT g.{group}, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb,
+  covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_
+FROM (SELECT DISTINCT {group} FROM {p}_rows) g JOIN {p}_axes t ON t.{group} <> g.{group} WHERE y IS NOT NULL GROUP BY g.{group}"""
+    out[f"{p}_law"] = f"""
+SELECT {group}, n, ma, mb, my, (ay*bb - by_*ab)/(aa*bb - ab*ab) AS sa, (by_*aa - ay*ab)/(aa*bb - ab*ab) AS z FROM {p}_moments"""
+    out[f"{p}_scored"] = f"""
+SELECT t.*, f.train_mean, coalesce(CASE WHEN l.n >= 4 THEN exp(l.my + l.sa*(t.a - l.ma) + l.z*(t.b - l.mb)) END, f.train_mean) AS pred,
+  f.age_b + f.age_m*t.cycle AS age_pred, f.n_train, f.cohorts
+FROM {p}_axes t JOIN {p}_fit f ON t.{group} = f.{group} JOIN {p}_law l ON t.{group} = l.{group}"""
+    out[f"{p}_result"] = f"""
+SELECT r.*, l.n AS n_used, -l.sa*8.314462618 AS activation_kj_per_mol FROM {p}_report r JOIN {p}_law l ON l.{group} = r.held_out"""
+    return out
+
+
+VIEWS.update(fade_law_views("vp", "avg_temp", "cohort"))
+VIEWS.update(fade_law_views("vq", "trailing_avg_temp", "cell_id"))
+LAW = FOLD + " n_used:i activation_kj_per_mol:d3"
+
+
+@query("val_physics_mean_temperature", LAW, "SELECT * FROM vp_result")
+def _(spark, sf_dir):
+    return physics.cross_validate_fade_law(_rows(spark, sf_dir), "cumulative_fade", "cohort", "LOCO", "avg_temp",
+                                           evaluate.AGE_LINEAR).fillna("", ["error"])
+
+
+@query("val_physics_trailing_temperature", LAW, "SELECT * FROM vq_result")
+def _(spark, sf_dir):
+    whole = targets(spark, sf_dir)
+    past = life.trailing_features(cycle_frame(spark, sf_dir), ("avg_temp",)).select("cell_id", "cycle", "trailing_avg_temp")
+    rows = staged(whole.where("cumulative_fade IS NOT NULL").join(past, ["cell_id", "cycle"]))
+    return physics.cross_validate_fade_law(rows, "cumulative_fade", "cell_id", "LOBO", "trailing_avg_temp",
+                                           evaluate.AGE_LINEAR).fillna("", ["error"])
+
+
 SUMMARY_SQL = """
 SELECT 'temp' AS model, '{s}' AS split, quantile_cont(r2_vs_global_mean, 0.5) AS median_r2_vs_global_mean,
   quantile_cont(mae, 0.5) AS median_mae, quantile_cont(spearman_rho, 0.5) AS median_spearman_rho,

@@ -130,9 +130,15 @@ def cross_validate(frame: DataFrame, model: Linear, target: str, group: str, spl
         base = fold_models(rows, confound, target, group, cohort).select(
             group, F.col("_coef").alias("_base"))
         folds = folds.join(base, group)
-    y = F.col(target).cast("double")
-    scored = rows.join(folds.where("error IS NULL"), group).withColumn("_pred", predicted(model))
     against = predicted(confound, "_base") if confound is not None else F.lit(None).cast("double")
+    return score_folds(rows, folds, predicted(model), model.name, target, group, split, against)
+
+
+def score_folds(rows: DataFrame, folds: DataFrame, prediction: Column, name: str, target: str, group: str, split: str,
+                against: Column) -> DataFrame:
+    """Fold results from the rows and one row of ``folds`` per group; ``prediction`` uses columns of both."""
+    y = F.col(target).cast("double")
+    scored = rows.join(folds.where("error IS NULL"), group).withColumn("_pred", prediction)
     err = y - F.col("_pred")
     stats = scored.groupBy(group).agg(
         F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
@@ -147,7 +153,7 @@ def cross_validate(frame: DataFrame, model: Linear, target: str, group: str, spl
         return F.when(F.col(base) > 0, 1.0 - F.col("_res") / F.col(base))
 
     return (folds.join(stats, group, "left").join(rho, group, "left").select(
-        F.lit(model.name).alias("model"), F.lit(split).alias("split"),
+        F.lit(name).alias("model"), F.lit(split).alias("split"),
         F.col(group).cast("string").alias("held_out"), "n_train", "n_test", "mae", "rmse",
         r2("_tot").alias("r2_vs_global_mean"), r2("_own").alias("r2_vs_own_mean_oracle"),
         "spearman_rho", r2("_age").alias("r2_vs_confound_baseline"), "error"))
