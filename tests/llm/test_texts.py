@@ -404,6 +404,35 @@ def test_pairs_are_learned_from_a_table_where_no_word_tells_alone(spark):
     assert len(held) > 1000 and sum(held) > 0.8 * len(held)  # no better than half by weights alone; 0.88 measured
 
 
+def test_slope_and_shift_find_the_least_loss_and_stay_near_one_without_rows():
+    rng = np.random.default_rng(4)
+    z = rng.normal(0, 3, 20_000)
+    y = (rng.random(len(z)) < toxicity.logistic(1.7 * z + 0.8)).astype(float)
+    a, b = toxicity.slope_and_shift(z, y, np.ones(len(z)))
+    assert a == pytest.approx(1.7, rel=0.1) and b == pytest.approx(0.8, abs=0.1)
+    apart = toxicity.slope_and_shift(np.array([-9.0, 9.0]), np.array([0.0, 1.0]), np.ones(2))
+    assert apart == pytest.approx((1, 0), abs=0.05)
+    wrong = toxicity.slope_and_shift(np.array([-9.0, 9.0] * 500), np.array([1.0, 0.0] * 500), np.ones(1000))
+    assert wrong[0] > 0
+
+
+def test_calibration_keeps_the_order_of_scores():
+    rng = np.random.default_rng(6)
+    rows = [np.unique(rng.integers(0, 40, 6)).astype(np.int32) for _ in range(600)]
+    y = np.array([float(3 in r or {5, 7} <= set(r.tolist())) for r in rows])
+    order = np.argsort(y, kind="stable")
+    rows, y = [rows[i] for i in order], y[order]
+    plain, told = toxicity.fit_sparse(rows, y, 64, y.mean()), toxicity.fit_calibrated(rows, y, 64, y.mean())
+    x = np.zeros((len(rows), len(plain.terms)))
+    for i, r in enumerate(rows):
+        x[i, np.searchsorted(plain.terms, r)] = 1
+    p, t = plain.margins(x), told.margins(x)
+    a, b = np.polyfit(p, t, 1)
+    assert a > 0 and t == pytest.approx(a * p + b, abs=1e-6)
+    assert toxicity.fit_calibrated(rows[:2], np.array([0.0, 1.0]), 64, 0.5).bias == pytest.approx(
+        toxicity.fit_sparse(rows[:2], np.array([0.0, 1.0]), 64, 0.5).bias)
+
+
 def test_steps_sum_like_loops():
     rows = [np.array(r, np.int32) for r in ([0, 3], [], [3, 4, 7], [0])]
     s = toxicity.step(rows, np.array([2, 1, 0, 3]))

@@ -16,8 +16,9 @@ rows only cannot explain a class.
 Learning uses a bounded sample: of each class the ``rows_per_class`` rows
 with the smallest seeded hash, and of these, in that order, as many as hold
 at most ``places_per_class`` terms. Spark finds the sample's terms; the fit
-sees at most so many rows and terms, whatever the corpus. The share of the
-classes among ALL training labels sets the bias. The model (at most
+sees at most so many rows and terms, whatever the corpus. A second fit without
+a third of the sample tells how to stretch margins so that scores are chances.
+The share of the classes among ALL training labels sets the bias. The model (at most
 ``buckets`` rows) is sent to all tasks: its size does not depend on the
 corpus. Scoring is one pass over the documents without a shuffle.
 
@@ -75,7 +76,7 @@ class Machine:
         s = x @ self.factors
         return self.bias + x @ self.weights + 0.5 * ((s * s).sum(1) - x @ (self.factors ** 2).sum(1))
 
-    def margin(self, rows: list[int]) -> float:
+    def margin(self, rows: Sequence[int] | np.ndarray) -> float:
         v = self.factors[rows]
         s = v.sum(0)
         return float(self.bias + self.weights[rows].sum() + 0.5 * (s @ s - (v * v).sum()))
@@ -175,6 +176,50 @@ def fit_sparse(rows: Sequence[np.ndarray], y: np.ndarray, buckets: int, share: f
     return Machine(bias, used, (w * scale)[used].astype(float), (v * scale[:, None])[used].astype(float), buckets)
 
 
+def slope_and_shift(z: np.ndarray, y: np.ndarray, weight: np.ndarray, hold: float = 5.0, rounds: int = 50) -> tuple[float, float]:
+    """(a, b) for which logistic(a z + b) fits ``y`` best; ``hold`` keeps them near (1, 0) where few rows tell."""
+    z = np.clip(z, -30, 30)
+    x = np.stack([z, np.ones(len(z))], axis=1)
+    at = start = np.array([1.0, 0.0])
+
+    def loss(ab: np.ndarray) -> float:
+        m = x @ ab
+        return float((weight * (np.logaddexp(0, m) - y * m)).sum() + 0.5 * hold * ((ab - start) ** 2).sum())
+
+    for _ in range(rounds):
+        p = logistic(x @ at)
+        slope = x.T @ (weight * (p - y)) + hold * (at - start)
+        move = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + hold * np.eye(2), slope)
+        length, now = 1.0, loss(at)
+        while length > 1e-6 and (at[0] - length * move[0] <= 0 or loss(at - length * move) > now):
+            length /= 2
+        if length <= 1e-6 or np.abs(length * move).max() < 1e-9:
+            break
+        at = at - length * move
+    return float(at[0]), float(at[1])
+
+
+def fit_calibrated(rows: Sequence[np.ndarray], y: np.ndarray, buckets: int, share: float, seed: int = SEED) -> Machine:
+    """``fit_sparse`` on all rows, its margins stretched and shifted so that a score is a chance.
+
+    The holding back of ``fit_sparse`` keeps margins of rows it has not seen near the bias. How far is told by a
+    machine fitted without every third row, on those rows. Slope (above 0) and shift go into the machine itself: the
+    order of scores stays.
+    """
+    back = np.arange(len(rows)) % 3 == 0
+    model = fit_sparse(rows, y, buckets, share, seed=seed)
+    if not 0 < y[~back].mean() < 1 or not 0 < y[back].mean() < 1:
+        return model
+    part = fit_sparse([r for r, b in zip(rows, back) if not b], y[~back], buckets, share, seed=seed)
+    place = np.full(buckets, -1, np.int64)
+    place[part.terms] = np.arange(len(part.terms))
+    found = (place[r] for r, b in zip(rows, back) if b)
+    z, truth = np.array([part.margin(p[p >= 0]) for p in found]), y[back]
+    weight = np.where(truth > 0, share / truth.mean(), (1 - share) / (1 - truth.mean()))
+    a, b = slope_and_shift(z, truth, weight)
+    return Machine(a * model.bias + b, model.terms, a * model.weights, a ** 0.5 * model.factors, buckets)
+
+
 def sample_terms(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     """(toxic, hash, n, terms) of the sample's rows; ``terms`` as four-byte numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +265,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return Machine(float(np.log(toxic / clean)))
     rows = [np.frombuffer(t, np.int32) for t in table.column("terms").to_pylist()]
     y = table.column("toxic").to_numpy().astype(np.float64)
-    return fit_sparse(rows, y, buckets, toxic / (toxic + clean), seed=seed)
+    return fit_calibrated(rows, y, buckets, toxic / (toxic + clean), seed)
 
 
 class Places(dict):
