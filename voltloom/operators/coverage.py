@@ -41,15 +41,15 @@ def cohort_subsets(cohorts: DataFrame, repeats: int = REPEATS, seed: int = SEED)
     return drawn.withColumn("_rank", rank).where("_rank <= n_cohorts").select(*POINT, "cohort")
 
 
-def _squared_error(model: Linear, coef: Column) -> Column:
+def squared_error(model: Linear, coef: Column, pick=F.col) -> Column:
     """Sum of squared residuals of a group, from its sums."""
     k = len(model.features) + 1
     b = [F.get(coef, F.lit(i)) for i in range(k)]
-    out = F.col("_yy")
+    out = pick("_yy")
     for i in range(k):
-        out = out - 2.0 * b[i] * F.col(f"_xy{i}")
+        out = out - 2.0 * b[i] * pick(f"_xy{i}")
         for j in range(k):
-            out = out + b[i] * b[j] * F.col(f"_xx{min(i, j)}_{max(i, j)}")
+            out = out + b[i] * b[j] * pick(f"_xx{min(i, j)}_{max(i, j)}")
     return out
 
 
@@ -64,7 +64,7 @@ def _skill(cells: DataFrame, model: Linear, group: str, name: str) -> DataFrame:
         "_mean", F.try_divide(F.col("_tr_xy0"), F.col("_tr_xx0_0")))
     m = F.col("_mean")
     base = F.col("_yy") - 2.0 * m * F.col("_xy0") + m * m * F.col("_xx0_0")
-    r2 = F.when(F.col("_coef").isNotNull() & (base > 0), 1.0 - _squared_error(model, F.col("_coef")) / base)
+    r2 = F.when(F.col("_coef").isNotNull() & (base > 0), 1.0 - squared_error(model, F.col("_coef")) / base)
     scored = staged(fitted.select(*POINT, r2.alias("_r2")))
     counts = scored.groupBy(*POINT).agg(F.count("_r2").alias(f"{name}_folds"))
     return exact_quantiles(scored, POINT, "_r2", {f"{name}_r2": 0.5}).join(counts, POINT)
