@@ -77,7 +77,7 @@ SELECT model, cohort, k, max(n_cells) AS n_cells, {", ".join(f"avg({a}) AS {a}"
 FROM fc_scores GROUP BY model, cohort, k"""
 VIEWS["fc_tall"] = "\nUNION ALL\n".join(f"SELECT '{a}' AS arm, {a} AS r2 FROM fc_folds WHERE {a} IS NOT NULL" for a in few_cells.ARMS)
 VIEWS["fc_pairs"] = "\nUNION ALL\n".join(
-    f"SELECT '{a}' AS rival, model || '/' || cohort || '/' || k AS fold, affine - {a} AS gain FROM fc_folds WHERE affine - {a} IS NOT NULL"
+    f"SELECT '{a}' AS rival, model || '/' || cohort || '/' || k AS fold, round(affine - {a}, 8) AS gain FROM fc_folds WHERE affine - {a} IS NOT NULL"
     for a in ("raw", "local_fit", "pooled", "shuffled"))
 VIEWS["fc_numbered"] = f"""
 SELECT *, row_number() OVER (PARTITION BY rival ORDER BY {_CODE.format(c='fold')}, fold) AS i, count(*) OVER (PARTITION BY rival) AS n FROM fc_pairs"""

@@ -170,11 +170,12 @@ def few_cell_risk(folds: DataFrame) -> DataFrame:
 def few_cell_paired(folds: DataFrame, against: Sequence[str] = ("raw", "local_fit", "pooled", "shuffled")) -> DataFrame:
     """Per rival: how often the affine correction is better in the same fold, the median difference with its interval.
 
+    Scores equal to eight decimals are ties: with one feature, the corrected line and the local one are the same line.
     ``verdict`` says whether the interval lies above 0; without an interval (under four folds) it is not told apart.
     """
     name = F.concat_ws("/", "model", "cohort", F.col("k").cast("string"))
     pairs = staged(folds.select(name.alias("fold"), F.inline(F.array(*[
-        F.struct(F.lit(a).alias("rival"), (F.col("affine") - F.col(a)).alias("gain")) for a in against]))).where("gain IS NOT NULL"))
+        F.struct(F.lit(a).alias("rival"), F.round(F.col("affine") - F.col(a), 8).alias("gain")) for a in against]))).where("gain IS NOT NULL"))
     counts = pairs.groupBy("rival").agg(F.count_if(F.col("gain") > 0).alias("wins"))
     ci = bootstrap_median_ci(pairs, ["rival"], "gain", "fold")
     return counts.join(exact_quantiles(pairs, ["rival"], "gain", {"median_gain": 0.5}), "rival").join(ci, "rival").withColumn(
