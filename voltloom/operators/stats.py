@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltloom.functions.numbers import draw, solve_normal, text_number
+from voltloom.functions.numbers import DRAW_RANGE, draw, draw_turn, solve_normal, text_number
 from voltloom.operators.life import in_cycle_order
 from voltloom.operators.ordered import (
     average_ranks, BLOCK_ROWS, exact_quantiles, near_window, spearman, with_ordinal,
@@ -16,6 +16,7 @@ from voltloom.session import staged
 
 KELVIN, GAS = 273.15, 8.314462618   # fixed values: offset of Celsius, J/(mol K)
 EARLY_CYCLES = 20
+PRODUCT_BLOCK, PRODUCT_PARTITIONS = 2048, 64
 
 
 def rank_correlations(frame: DataFrame, keys: Sequence[str], features: Sequence[str], target: str) -> DataFrame:
@@ -69,7 +70,9 @@ def permutation_test(frame: DataFrame, key: str, x: str, y: str, permutations: i
 
     The table has one row per battery. A permutation orders the rows by a
     repeatable number and pairs the k-th x with the k-th y; ranks are taken
-    once, since a permutation does not change them.
+    once, since a permutation does not change them. The repeatable numbers of
+    all permutations have one circular order (``draw_turn``), so rows are
+    sorted once and a permutation is the place where its order begins.
     """
     rows = frame.select(key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where(
         "_x IS NOT NULL AND _y IS NOT NULL")
@@ -77,18 +80,67 @@ def permutation_test(frame: DataFrame, key: str, x: str, y: str, permutations: i
     ry = average_ranks(rows, [], "_y").select(F.col("v").alias("_y"), F.col("avg_rank").alias("_ry"))
     coded = rows.join(rx, "_x").join(ry, "_y").withColumns({
         "_all": F.lit(0), "_h": text_number(F.col(key).cast("string"))})
-    ranked = with_ordinal(coded, ["_all"], ["_h", key], F.floor(F.col("_h") / 4_194_304), "_i")
-    reps = ranked.select("_i", "_rx", "_ry", F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("_rep"))
-    order = F.when(F.col("_rep") == 0, F.col("_i")).otherwise(draw(seed, F.col("_rep"), F.col("_i")))
-    shuffled = with_ordinal(reps.withColumn("_o", order), ["_rep"], ["_o", "_i"], F.floor(F.col("_o") / 4_194_304), "_k")
-    left = shuffled.select("_rep", "_k", "_rx")
-    right = reps.select("_rep", F.col("_i").alias("_k"), "_ry")
-    paired = left.join(right, ["_rep", "_k"]).groupBy("_rep").agg(F.corr("_rx", "_ry").alias("rho"))
-    real = paired.where("_rep = 0").select("rho").scalar()
     n = rows.agg(F.count(F.lit(1))).scalar()
-    return paired.where("_rep > 0").agg(
-        ((F.count_if(F.abs("rho") >= F.abs(real) - 1e-12) + 1) / F.lit(permutations + 1.0)).alias("p_value")).select(
-        real.alias("rho"), "p_value", n.alias("n"))
+    # From the mean rank, so that sums of products stay exact.
+    off = lambda c: F.col(c) - (n + 1) / F.lit(2.0)
+    ranked = staged(with_ordinal(coded, ["_all"], ["_h", key], F.floor(F.col("_h") / 4_194_304), "_i").select(
+        "_all", "_i", off("_rx").alias("_rx"), off("_ry").alias("_ry"), draw_turn(F.col("_i")).alias("_e")))
+    product = lambda a, b: F.sum(F.col(a) * F.col(b))
+    whole = staged(ranked.agg(F.count(F.lit(1)).alias("n"), product("_rx", "_ry").alias("_xy"), F.sqrt(
+        product("_rx", "_rx") * product("_ry", "_ry")).alias("_den")).withColumn("rho", F.try_divide("_xy", "_den")))
+    sums = _permuted_products(ranked, whole, permutations, seed)
+    known = whole.select(F.struct("n", "_den", "rho")).scalar()
+    rho = F.try_divide("_xy", known["_den"])
+    return sums.agg(
+        ((F.count_if(F.abs(rho) >= F.abs(known["rho"]) - 1e-12) + 1) / F.lit(permutations + 1.0)).alias("p_value")).select(
+        known["rho"].alias("rho"), "p_value", known["n"].alias("n"))
+
+
+def _permuted_products(ranked: DataFrame, whole: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """(_rep, _xy): the sum of products of each permutation, from blocks of both series.
+
+    Row _p of the circular order meets row (_p - 1 - _w) mod n + 1 of the other series, where _w rows come after
+    the place at which a permutation begins. A block of one series and a block of the other meet in many
+    permutations; each such pair of blocks is laid out once, with the stretches that the permutations need of it.
+    """
+    chunk = F.floor(F.col("_e") / 1_048_576)
+    base = with_ordinal(ranked.select("_all", "_e", "_rx"), ["_all"], ["_e"], chunk, "_p")
+    reps = ranked.sparkSession.range(1, permutations + 1).select(
+        F.lit(0).alias("_all"), F.col("id").alias("_rep"), (DRAW_RANGE - draw(seed, F.col("id"), 0)).alias("_e"))
+    # How many rows lie below a permutation's border: its place among rows and borders, less that among borders.
+    both = reps.unionByName(ranked.select("_all", F.lit(None).cast("bigint").alias("_rep"), "_e"))
+    order = ["_e", F.asc_nulls_last("_rep")]
+    place = with_ordinal(both, ["_all"], order, chunk, "_at").where("_rep IS NOT NULL").select("_rep", "_at")
+    begins = place.join(with_ordinal(reps, ["_all"], order, chunk, "_own").select("_rep", "_own"), "_rep").select(
+        "_rep", (F.col("_at") - F.col("_own")).alias("_w"))
+    size = F.lit(PRODUCT_BLOCK).cast("bigint")
+
+    def blocks(df: DataFrame, at: str, value: str, block: str, out: str) -> DataFrame:
+        # The order of the structs is that of the rows; a block has PRODUCT_BLOCK rows at most.
+        series = F.array_sort(F.collect_list(F.struct(at, value)))
+        return df.groupBy(F.floor((F.col(at) - 1) / size).alias(block)).agg(series[value].alias(out))
+
+    laid = begins.withColumn("n", whole.select("n").scalar()).where("n > 0").repartition(PRODUCT_PARTITIONS, "_rep")
+    laid = laid.withColumn("_xb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / size))))
+    start = F.col("_xb") * size
+    rows = F.least(size, F.col("n") - start)
+    laid = laid.withColumns({"_k": F.pmod(start - F.col("_w"), F.col("n")), "_m": rows}).withColumn(
+        "_head", F.least("_m", F.col("n") - F.col("_k")))
+    runs = F.array(F.struct(F.lit(0).cast("bigint").alias("o"), F.col("_k").alias("k"), F.col("_head").alias("m")),
+                   F.struct(F.col("_head").alias("o"), F.lit(0).cast("bigint").alias("k"), (F.col("_m") - F.col("_head")).alias("m")))
+    cut = laid.select("_rep", "_xb", F.inline(runs)).where("m > 0").withColumn(
+        "_yb", F.explode(F.sequence(F.floor(F.col("k") / size), F.floor((F.col("k") + F.col("m") - 1) / size))))
+    first = F.greatest("k", F.col("_yb") * size)
+    until = F.least(F.col("k") + F.col("m"), (F.col("_yb") + 1) * size)
+    stretch = F.struct("_rep", (F.col("o") + first - F.col("k")).cast("int").alias("x"),
+                       (first - F.col("_yb") * size).cast("int").alias("y"), (until - first).cast("int").alias("m"))
+    pairs = cut.groupBy("_xb", "_yb").agg(F.collect_list(stretch).alias("_cuts"))
+    met = pairs.join(blocks(base, "_p", "_rx", "_xb", "_xs"), "_xb").join(
+        blocks(ranked, "_i", "_ry", "_yb", "_ys"), "_yb").repartition(PRODUCT_PARTITIONS, "_xb", "_yb")
+    part = F.transform("_cuts", lambda c: F.struct(c["_rep"].alias("_rep"), F.aggregate(
+        F.sequence(F.lit(0), c["m"] - 1), F.lit(0.0),
+        lambda total, j: total + F.get(F.col("_xs"), c["x"] + j) * F.get(F.col("_ys"), c["y"] + j)).alias("_part")))
+    return met.select(F.inline(part)).groupBy("_rep").agg(F.sum("_part").alias("_xy"))
 
 
 def arrhenius_fit(frame: DataFrame, keys: Sequence[str] = (), target: str = "cumulative_fade",
