@@ -22,6 +22,9 @@ MIN_TEST_ROWS = 10
 MIN_TRAIN_COHORTS = 2
 MIN_FOLDS_FOR_CI = 4
 RESAMPLES = 2000
+DRAW_PARTITIONS, DRAW_BLOCK = 64, 65_536
+#: Borders of a median of draws, in square roots of the number of folds.
+DRAW_REACH = 6.0
 
 
 @dataclass(frozen=True)
@@ -226,20 +229,67 @@ def bootstrap_median_ci(values: DataFrame, keys: Sequence[str], value: str, orde
     keys = list(keys)
     ok = values.where(F.col(value).isNotNull())
     code = text_number(F.col(order).cast("string"))
-    numbered = with_ordinal(ok.select(*keys, order, value).withColumn("_h", code), keys, ["_h", order],
-                            F.floor(F.col("_h") / 4_194_304), "_i")
-    sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_folds"))
+    numbered = staged(with_ordinal(ok.select(*keys, order, value).withColumn("_h", code), keys, ["_h", order],
+                                   F.floor(F.col("_h") / 4_194_304), "_i").select(
+        *keys, "_i", F.col(value).cast("double").alias("_v")))
+    sizes = staged(numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_folds")))
     plan = sizes.where(F.col("n_folds") >= MIN_FOLDS_FOR_CI).withColumn(
-        "_rep", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn(
-        "_pos", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_folds"))))
-    picks = plan.withColumn("_i", 1 + F.pmod(draw(seed, F.col("_rep"), F.col("_pos")), F.col("n_folds")))
-    drawn = picks.join(numbered.select(*keys, "_i", F.col(value).alias("_v")), [*keys, "_i"])
-    medians = exact_quantiles(drawn, [*keys, "_rep"], "_v", {"_m": 0.5})
+        "_rep", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    medians = _drawn_medians(plan, numbered, keys, seed)
     tail = (1.0 - confidence) / 2.0
     ci = exact_quantiles(medians, keys, "_m", {"ci_low": tail, "ci_high": 1.0 - tail})
     return sizes.join(ci, keys, "left")
 
 
+def _drawn(plan: DataFrame, folds: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """The folds that the replicates of ``plan`` draw, a row per draw.
+
+    The draws stream past the folds, a row per fold, which are the side held
+    by a task. The plan is a few thousand rows that become millions, so it is
+    laid out over a number of partitions of its own.
+    """
+    rows = F.lit(DRAW_BLOCK).cast("bigint")
+    blocks = plan.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_folds") - 1) / rows))))
+    laid = blocks.repartition(DRAW_PARTITIONS, *keys, "_rep", "_block").withColumn("_pos", F.explode(F.sequence(
+        F.col("_block") * rows + 1, F.least("n_folds", (F.col("_block") + 1) * rows))))
+    pick = 1 + F.pmod(draw(seed, F.col("_rep"), F.col("_pos")), F.col("n_folds"))
+    return laid.select(*keys, "_rep", pick.alias("_i")).join(folds.hint("shuffle_hash"), [*keys, "_i"])
+
+
+def _drawn_medians(plan: DataFrame, numbered: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """(keys, _rep, _m): the exact median of each replicate's draws.
+
+    A median of draws lies near that of the folds, within some sqrt(n) ranks.
+    Between two borders around it draws are counted by value, beyond them only
+    together; a replicate whose median lies beyond is counted whole.
+    """
+    one = [*keys, "_rep"]
+    buckets = 256
+    middle = numbered.groupBy(*keys).agg(
+        F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_b"),
+        (F.ceil(DRAW_REACH * buckets / F.sqrt(F.count(F.lit(1)))) + 1).cast("int").alias("_reach"))
+    at = lambda i: F.when(i.between(1, buckets - 1), F.get("_b", i - 1))
+    borders = middle.select(*keys, at(buckets // 2 - F.col("_reach")).alias("_lo"), at(buckets // 2 + F.col("_reach")).alias("_hi"))
+    side = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0)
+    placed = staged(numbered.join(borders, keys).withColumn("_side", side).select(
+        *keys, "_i", "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_v")))
+    counts = _drawn(plan, placed, keys, seed).groupBy(*one, "_side", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy(*one)
+    ranked = counts.withColumns({
+        "_last": F.sum("_n").over(own.orderBy("_side", "_v").rowsBetween(Window.unboundedPreceding, 0)),
+        "_at": (F.sum("_n").over(own) - 1) * F.lit(0.5)})
+    found = lambda k: F.max(F.when(
+        (F.col("_side") == 0) & (F.col("_last") - F.col("_n") < k) & (k <= F.col("_last")), F.col("_v")))
+    picked = ranked.groupBy(*one).agg(
+        found(F.floor("_at") + 1).alias("_a"), found(F.ceil("_at") + 1).alias("_c"), F.max(F.col("_at") - F.floor("_at")).alias("_f"))
+    medians = staged(picked.select(*one, (F.col("_a") + (F.col("_c") - F.col("_a")) * F.col("_f")).alias("_m")))
+    beyond = medians.where("_m IS NULL").select(*one)
+    if beyond.isEmpty():
+        return medians
+    whole = exact_quantiles(_drawn(plan.join(beyond, one), numbered, keys, seed), one, "_v", {"_m": 0.5})
+    return medians.where("_m IS NOT NULL").unionByName(whole)
+
+
 def ranked_results(gate: DataFrame, ceiling: DataFrame | None = None) -> DataFrame:
     """Results numbered by status, then by falling LOCO R², empty ones last; one row per model.
 
