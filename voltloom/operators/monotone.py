@@ -7,6 +7,8 @@ samples of a battery: equal x are averaged with their weight before.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -72,15 +74,51 @@ def signal_fraction(frame: DataFrame, target: str) -> DataFrame:
 
 
 def falling_voltage(curves: DataFrame) -> DataFrame:
-    """Discharge curves whose voltage is the nearest non-increasing one along the charge."""
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        known = part["voltage_v"].notna() & part["capacity_ah_curve"].notna()
-        part = part[known].sort_values(["capacity_ah_curve", "test_time_s", "seq"])
-        q, v = part["capacity_ah_curve"].to_numpy(), part["voltage_v"].to_numpy()
-        _, place, n = np.unique(q, return_inverse=True, return_counts=True)
-        means = np.bincount(place, weights=v, minlength=len(n)) / n
-        return part.assign(voltage_v=-pooled(-means, n.astype(np.float64))[place])
+    """Discharge curves whose voltage is the nearest non-increasing one along the charge.
+
+    A task reads its samples in the order of their curves, many curves in one
+    batch; a curve that a batch cuts waits for its rest.
+    """
+    def whole(part: pd.DataFrame) -> pd.DataFrame:
+        opens = _opens(part)
+        q = part["capacity_ah_curve"].to_numpy()
+        place = np.cumsum(opens | (q != np.roll(q, 1))) - 1
+        n = np.bincount(place).astype(np.float64)
+        means = np.bincount(place, weights=part["voltage_v"].to_numpy()) / n
+        ends = [*place[np.flatnonzero(opens)].tolist(), len(n)]
+        fit = np.concatenate([-pooled(-means[i:j], n[i:j]) for i, j in zip(ends, ends[1:])])
+        return part.assign(voltage_v=fit[place])
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []
+        for part in batches:
+            if part.empty:
+                continue
+            at = np.flatnonzero(_opens(part, waiting[-1] if waiting else None))
+            if len(at):
+                done = pd.concat([*waiting, part[:at[-1]]], ignore_index=True)
+                if len(done):
+                    yield whole(done)
+                waiting, part = [], part[at[-1]:]
+            waiting.append(part)
+        if waiting:
+            yield whole(pd.concat(waiting, ignore_index=True))
 
     cols = ["cell_id", "cycle", "test_time_s", "seq", "voltage_v", "capacity_ah_curve"]
-    slim = curves.select(*cols)
-    return slim.groupBy("cell_id", "cycle").applyInPandas(fit, slim.schema)
+    known = curves.select(*cols).where(
+        "voltage_v IS NOT NULL AND NOT isnan(voltage_v) AND capacity_ah_curve IS NOT NULL AND NOT isnan(capacity_ah_curve)")
+    ordered = known.repartition("cell_id", "cycle").sortWithinPartitions(
+        "cell_id", "cycle", "capacity_ah_curve", "test_time_s", "seq")
+    return ordered.mapInPandas(fit, known.schema)
+
+
+def _opens(part: pd.DataFrame, before: pd.DataFrame | None = None) -> np.ndarray:
+    """Which rows open a curve; ``before`` ends with the row in front of the first one."""
+    opens = np.zeros(len(part), bool)
+    for c in ("cell_id", "cycle"):
+        x = part[c].to_numpy()
+        other = np.r_[True, x[1:] != x[:-1]]
+        if before is not None:
+            other[0] = x[0] != before[c].iloc[-1]
+        opens |= other
+    return opens
