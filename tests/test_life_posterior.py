@@ -87,3 +87,10 @@ def test_posterior_without_one_follows_the_cell(spark):
 def test_a_prior_needs_a_population(spark):
     two = spark.createDataFrame([("a", 500.0, 1.0), ("b", 600.0, 1.0)], "cell_id string, life double, shape double")
     assert priors.life_prior(two).first()["log_life_mean"] is None
+
+
+def test_the_grid_is_never_laid_out_as_rows(spark):
+    """A grid has some 13,000 points an estimate; only the estimates' own rows are shuffled."""
+    prior = spark.createDataFrame([(6.5, 0.5, 0.9, 0.3)], "log_life_mean double, log_life_sd double, shape_mean double, shape_sd double")
+    plan = priors.posterior_life(history(spark), prior)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan

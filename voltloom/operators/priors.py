@@ -1,11 +1,15 @@
 """Fade-rate and life-curve priors over a fleet, and posteriors on a grid.
 
-A history enters only through a few sums, so the grid is exploded over one
-small row per (cell, estimate), never over the readings.
+A history enters only through a few sums, so a grid is laid over one small
+row per (cell, estimate), never over the readings.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,6 +218,7 @@ SHAPE_SD_FLOOR, LARGEST_RHO = 0.2, 0.95
 FLAT_LOG_LIFE, FLAT_HALF = 6.214608098422191, 6.0
 TAIL = 1e-4
 ESTIMATE = ["cell_id", "at_cycle"]
+PRIOR = ("log_life_mean", "log_life_sd", "shape_mean", "shape_sd")
 
 
 def life_prior(lives: DataFrame) -> DataFrame:
@@ -237,46 +242,67 @@ def _power_sums(rows: DataFrame, first: Column, step: Column) -> DataFrame:
         F.array(*[F.sum(x * F.col("_f")) for x in power]).alias("_xf"), F.array(*[F.sum(x * x) for x in power]).alias("_xx"))
 
 
-def _laid_out(points: DataFrame, threshold: float) -> DataFrame:
-    """The grid of each estimate: log life by shape, with squared error and log prior.
+class _Grid:
+    """The grid of one estimate, log life by shape: squared errors and log priors, from the estimate's sums alone.
 
-    The error at (L, p) is made of the estimate's sums: with c = (1 - threshold) / L^p it is ff - 2 c xf + c^2 xx.
+    The error at (L, p), with c = (1 - threshold) / L^p, is ff - 2 c xf + c^2 xx.
     """
-    rows = points.select("*", F.explode(F.sequence(F.lit(0), F.lit(LIFE_POINTS - 1))).alias("i"))
-    rows = rows.select("*", F.posexplode(F.arrays_zip("_xf", "_xx")).alias("j", "_s")).drop("_xf", "_xx")
-    rows = rows.withColumns({"log_life": F.col("_l0") + F.col("i") * F.col("_l_step"),
-                             "shape": F.col("_p0") + F.col("j") * F.col("_p_step")})
-    c = (1.0 - threshold) * F.exp(-F.col("shape") * F.col("log_life"))
-    z = (F.col("log_life") - F.col("_prior.log_life_mean")) / F.col("_prior.log_life_sd")
-    u = (F.col("shape") - F.col("_prior.shape_mean")) / F.col("_prior.shape_sd")
-    return rows.withColumns({
-        "sse": F.col("_ff") - 2.0 * c * F.col("_s._xf") + c * c * F.col("_s._xx"),
-        "log_prior": F.coalesce(-0.5 * z * z - 0.5 * u * u, F.lit(0.0))})
-
-
-def _posterior(laid: DataFrame) -> DataFrame:
-    """The grid with each point's weight (the largest is 1)."""
-    like = F.when(F.col("_has"), -0.5 * F.col("sse") / (F.col("sigma") * F.col("sigma"))).otherwise(0.0)
-    scored = laid.withColumn("_lp", F.col("log_prior") + like)
-    top = scored.groupBy(*ESTIMATE).agg(F.max("_lp").alias("_top"))
-    return scored.join(top, ESTIMATE).withColumn("_w", F.exp(F.col("_lp") - F.col("_top")))
-
-
-def _cumulated(weighed: DataFrame, axis: str, value: str) -> DataFrame:
-    """Marginal of one axis with its distribution function; an estimate has a few hundred rows."""
-    margin = weighed.groupBy(*ESTIMATE, axis).agg(F.sum("_w").alias("_w"), F.first(value).alias(value))
-    own = Window.partitionBy(*ESTIMATE)
-    upto = own.orderBy(axis).rowsBetween(Window.unboundedPreceding, 0)
-    return margin.withColumn("_cdf", F.sum("_w").over(upto) / F.sum("_w").over(own))
 
-
-def _at(share: float, value: str) -> Column:
-    return F.min(F.when(F.col("_cdf") >= share - 1e-12, F.col(value)))
-
-
-def _span(weighed: DataFrame, axis: str, value: str, name: str) -> DataFrame:
-    return _cumulated(weighed, axis, value).groupBy(*ESTIMATE).agg(
-        _at(TAIL, value).alias(f"_{name}_lo"), F.coalesce(_at(1 - TAIL, value), F.max(value)).alias(f"_{name}_hi"))
+    def __init__(self, row, threshold: float):
+        self.log_life = row["_l0"] + np.arange(LIFE_POINTS) * row["_l_step"]
+        self.shape = row["_p0"] + np.arange(len(SHAPES)) * row["_p_step"]
+        c = (1.0 - threshold) * np.exp(-np.outer(self.log_life, self.shape))
+        self.sse = row["_ff"] - 2.0 * c * np.asarray(row["_xf"], float) + c * c * np.asarray(row["_xx"], float)
+        known = [row[f"_prior_{n}"] for n in PRIOR]
+        mean, sd, middle, width = known
+        if any(x is None or np.isnan(x) for x in known):
+            self.log_prior = np.zeros_like(self.sse)
+        else:
+            self.log_prior = -0.5 * ((self.log_life - mean) / sd)[:, None] ** 2 - 0.5 * ((self.shape - middle) / width) ** 2
+
+    def likeliest(self) -> tuple[float, float]:
+        merit = self.sse - 2.0 * SIGMA_DEFAULT ** 2 * self.log_prior
+        i, j = np.unravel_index(np.argmin(np.where(np.isnan(merit), np.inf, merit)), merit.shape)
+        return self.log_life[i], self.shape[j]
+
+    def weights(self, has: bool, sigma: float) -> np.ndarray:
+        """The posterior of each point; the largest is 1."""
+        logs = self.log_prior - 0.5 * self.sse / (sigma * sigma) if has else self.log_prior
+        return np.exp(logs - logs.max())
+
+
+def _at(share: float, weights: np.ndarray, values: np.ndarray) -> float | None:
+    """The smallest value at which the distribution function reaches the share."""
+    reached = ~(np.cumsum(weights) / weights.sum() < share - 1e-12)
+    return float(values[reached].min()) if reached.any() else None
+
+
+def _per_estimate(points: DataFrame, threshold: float, columns: str, answer: Callable[[dict, _Grid], tuple]) -> DataFrame:
+    """(estimate, columns): what ``answer`` reads from each estimate's grid, which lives in its task only."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows = part.to_dict("records")
+            with np.errstate(all="ignore"):
+                found = [answer(r, _Grid(r, threshold)) for r in rows]
+            yield pd.concat([part[ESTIMATE].reset_index(drop=True), pd.DataFrame(found, columns=names, dtype=float)], axis=1)
+
+    of = dict(points.dtypes)
+    slim = points.select(*ESTIMATE, "_l0", "_l_step", "_p0", "_p_step", "_ff", "_xf", "_xx", "_has", *(
+        ["sigma"] if "sigma" in of else []), *(["_elapsed"] if "_elapsed" in of else []), *[
+            F.col(f"_prior.{n}").alias(f"_prior_{n}") for n in PRIOR])
+    return slim.mapInPandas(read, ", ".join(f"{c} {of[c]}" for c in ESTIMATE) + ", " + columns)
+
+
+def _spans(row: dict, grid: _Grid) -> tuple:
+    """Where the posterior lies along either axis, but for its tails."""
+    weights = grid.weights(row["_has"], row["sigma"])
+    out = []
+    for margin, values in ((weights.sum(1), grid.log_life), (weights.sum(0), grid.shape)):
+        high = _at(1 - TAIL, margin, values)
+        out += [_at(TAIL, margin, values), values.max() if high is None else high]
+    return tuple(out)
 
 
 def _curve_noise(rows: DataFrame, best: DataFrame, threshold: float) -> DataFrame:
@@ -324,13 +350,11 @@ def posterior_life(history: DataFrame, prior: DataFrame | None = None, threshold
     coarse = F.lit(SHAPES[0]), F.lit(round(SHAPES[1] - SHAPES[0], 10))
     points = staged(base.join(_power_sums(rows, *coarse), ESTIMATE).withColumns({
         "_l0": middle - half, "_l_step": 2.0 * half / (LIFE_POINTS - 1), "_p0": coarse[0], "_p_step": coarse[1]}))
-    laid = _laid_out(points, threshold)
-    merit = F.struct((F.col("sse") - 2.0 * SIGMA_DEFAULT ** 2 * F.col("log_prior")).alias("o"), "i", "j")
-    best = laid.where("_has").groupBy(*ESTIMATE).agg(F.min_by(F.struct("log_life", "shape"), merit).alias("_best"))
+    best = _per_estimate(points.where("_has"), threshold, "log_life double, shape double", lambda row, grid: grid.likeliest()).select(
+        *ESTIMATE, F.struct("log_life", "shape").alias("_best"))
     noise = _curve_noise(rows, best, threshold)
     points = staged(points.join(noise, ESTIMATE, "left").withColumn("sigma", F.coalesce("_noise", F.lit(SIGMA_DEFAULT))).drop("_noise"))
-    weighed = _posterior(_laid_out(points, threshold))
-    spans = _span(weighed, "i", "log_life", "l").join(_span(weighed, "j", "shape", "p"), ESTIMATE)
+    spans = _per_estimate(points, threshold, "_l_lo double, _l_hi double, _p_lo double, _p_hi double", _spans)
     low = F.greatest(F.col("_p_lo") - F.col("_p_step"), F.lit(0.05))
     finer = points.drop("_xf", "_xx").join(spans, ESTIMATE).withColumns({
         "_p_step": (F.col("_p_hi") + F.col("_p_step") - low) / (len(SHAPES) - 1), "_p0": low,
@@ -338,9 +362,13 @@ def posterior_life(history: DataFrame, prior: DataFrame | None = None, threshold
         "_l0": F.col("_l_lo") - F.col("_l_step")})
     finer = staged(finer)
     sums = _power_sums(rows.join(finer.select(*ESTIMATE, "_p0", "_p_step"), ESTIMATE), F.col("_p0"), F.col("_p_step"))
-    fine = _posterior(_laid_out(finer.join(sums, ESTIMATE), threshold))
-    last = _cumulated(fine, "i", "log_life").join(finer.select(*ESTIMATE, "_x0", "n_readings", "sigma"), ESTIMATE)
-    left = last.withColumn("_rul", F.greatest(F.exp("log_life") - (F.col("at_cycle") - F.col("_x0")), F.lit(0.0)))
+    fine = finer.join(sums, ESTIMATE).withColumn("_elapsed", (F.col("at_cycle") - F.col("_x0")).cast("double"))
     tail = (1.0 - coverage) / 2.0
-    return left.groupBy(*ESTIMATE).agg(_at(0.5, "_rul").alias("median"), _at(tail, "_rul").alias("lower"), _at(1.0 - tail, "_rul").alias("upper"),
-                                       F.first("n_readings").alias("n_readings"), F.first("sigma").alias("sigma"))
+
+    def remaining(row: dict, grid: _Grid) -> tuple:
+        margin = grid.weights(row["_has"], row["sigma"]).sum(1)
+        left = np.maximum(np.exp(grid.log_life) - row["_elapsed"], 0.0)
+        return tuple(_at(q, margin, left) for q in (0.5, tail, 1.0 - tail))
+
+    return _per_estimate(fine, threshold, "median double, lower double, upper double", remaining).join(
+        finer.select(*ESTIMATE, "n_readings", "sigma"), ESTIMATE)
