@@ -31,12 +31,12 @@ def decode(lines: DataFrame, sentinel: str = SENTINEL) -> DataFrame:
     """Adds record_type (noise/status/hello/data/rejected), reason, channels and header."""
     kind, body, carried = F.col("_record_kind"), F.col("_body"), F.col("_carried")
     known = kind.isin("HELLO", "D", "S")
-    cut = computed(lines, {f"_{n}": c for n, c in wire.split_line(F.col("line"), sentinel).items()})
+    cut = wire.split_line(lines, sentinel)
     is_data = kind == "D"
-    parsed = computed(cut, {
+    summed = computed(cut, {
         "_sum": F.when(known & (carried != ""), wire.xor_checksum(body)),
-        "_hello": F.when(kind == "HELLO", F.from_json(body, wire._HELLO)),
-        **{f"_{n}": c for n, c in wire.raw_values(F.when(is_data, body)).items()}})
+        "_hello": F.when(kind == "HELLO", F.from_json(body, wire._HELLO))})
+    parsed = wire.raw_values(summed, F.when(is_data, body))
     texts = computed(parsed, {f"_s_{f.name}": wire.field_text(f) for f in WIRE_FIELDS})
     numbers = computed(texts, {f"_x_{f.name}": F.col(f"_s_{f.name}").try_cast("double") for f in WIRE_FIELDS})
     problems = [wire.field_problem(f, F.col(f"_s_{f.name}"), F.col(f"_x_{f.name}")) for f in WIRE_FIELDS]
@@ -115,14 +115,17 @@ def missing_text(missing: Column) -> Column:
 
 
 def capture_channels(decoded: DataFrame) -> DataFrame:
-    """Per capture: header, supplied and missing channels."""
-    data = decoded.where("record_type = 'data'").groupBy("capture_id").agg(
-        F.array_compact(F.array(*[F.when(F.count(c) > 0, F.lit(c)) for c in CHANNELS])).alias("_seen"))
-    every = decoded.select("capture_id").distinct()
-    joined = every.join(data, "capture_id", "left").join(headers(decoded), "capture_id", "left")
-    return joined.withColumn("channels", F.coalesce(
+    """Per capture: header, supplied and missing channels, from one pass over the lines."""
+    kind = F.col("record_type")
+    channel = lambda c: F.when(F.count(F.when(kind == "data", F.col(c))) > 0, F.lit(c))
+    one = decoded.groupBy("capture_id").agg(
+        F.array_compact(F.array(*[channel(c) for c in CHANNELS])).alias("_seen"),
+        F.max_by("header", F.when(kind == "hello", F.col("seq"))).alias("header"))
+    # Lines without a capture's name tell nothing of a capture.
+    named = one.withColumns({c: F.when(F.col("capture_id").isNotNull(), F.col(c)) for c in ("_seen", "header")})
+    return named.withColumn("channels", F.coalesce(
         _declared(F.col("header"), F.col("_seen")), F.array().cast("array<string>"))).withColumn(
-        "missing", missing_channels(F.col("channels"))).drop("_seen")
+        "missing", missing_channels(F.col("channels"))).select("capture_id", "header", "channels", "missing")
 
 
 def homogeneous(decoded: DataFrame, captures: DataFrame) -> DataFrame:
