@@ -30,3 +30,11 @@ def test_channels_from_one_pass(spark):
     got = {r.capture_id: (r.channels, len(r.missing)) for r in out.collect()}
     assert got == {"a": (["test_time_s", "voltage_v"], 3), "b": (["current_a", "test_time_s"], 3), "c": ([], 4), None: ([], 4)}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_any_columns_of_a_decoded_line(spark, tmp_path):
+    rows = [("a", 1, "BATLOG1 D t=1 v=3"), ("a", 2, 'BATLOG1 D {"t":2,"v":3}'), ("a", 3, "noise"), ("a", 4, "BATLOG1 D t=x"), ("a", 5, None)]
+    wire.decode(spark.createDataFrame(rows, "capture_id string, seq long, line string")).select(
+        "capture_id", "seq", "record_type", "test_time_s").write.parquet(str(tmp_path / "decoded"))
+    got = {r.seq: (r.record_type, r.test_time_s) for r in spark.read.parquet(str(tmp_path / "decoded")).collect()}
+    assert got == {1: ("data", 1.0), 2: ("data", 2.0), 3: ("noise", None), 4: ("rejected", None), 5: ("noise", None)}
