@@ -10,13 +10,17 @@ from voltloom import fixtures
 from voltloom.catalog import duty_views  # noqa: F401
 from voltloom.catalog.base import query
 from voltloom.operators.memory import Memory
-from voltloom.session import shared_dir
+from voltloom.session import shared_dir, staged
 
 
 def remembered(spark, sf_dir) -> Memory:
-    """The duty log as three pieces per battery: the last comes first, and some come again under another name."""
+    """The duty log as three pieces per battery: the last comes first, and some come again under another name.
+
+    Pieces are deliveries, so they are stored: each is read several times.
+    """
     log = fixtures.duty(spark, sf_dir).withColumnsRenamed({"cell_id": "battery_id", "rn": "seq"}).withColumn(
         "piece_id", F.least(F.floor(F.col("cyc") / 7), F.lit(2)))
+    log = staged(log)
     memory = Memory(spark, f"{shared_dir(spark).rstrip('/')}/memory/{uuid.uuid4().hex}")
     again = lambda n: log.where(F.col("piece_id") == n).withColumn("piece_id", F.lit(10 + n).cast("bigint"))
     for delivery in (log.where("piece_id = 2"), log.where("piece_id < 2").unionByName(again(2)).unionByName(again(0))):
