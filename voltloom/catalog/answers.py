@@ -202,10 +202,11 @@ ON r.cell_id = g.cell_id"""
 
 
 def labelled(spark, sf_dir):
-    log = fixtures.duty(spark, sf_dir)
+    """Accepted readings beside labels; the log is stored, four steps read it."""
+    log = staged(fixtures.duty(spark, sf_dir))
     labels = staged(log.where(F.col("cyc") % 9 != 4).groupBy("cell_id", F.col("cyc").alias("cycler_cycle")).agg(
         (2.0 - 0.004 * F.first("cyc") + F.avg("temperature_c") / 1000).alias("capacity_ah")))
-    discharges, table = gated_table(spark, sf_dir)
+    discharges, table = gated_table(spark, sf_dir, phases.Log(log, chunk_s=CHUNK_S))
     numbers = truth.cycler_cycles(discharges, log.withColumns({"cycle": F.col("cyc"), "seq": F.col("rn")}))
     joined = truth.label_join(table.select("cell_id", "cycle", "soh_window_accepted"), numbers, labels)
     return staged(joined.withColumn("cohort", _class(5)))
