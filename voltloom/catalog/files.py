@@ -71,13 +71,31 @@ def _(spark, sf_dir):
     return scan.runs_with_manifest(named.drop("cell_id"), manifest)
 
 
+#: Files of one cell that one task writes at most.
+CELL_FILES = 16
+
+
+def export_cells(log, columns, out):
+    """A header CSV file for each (cell, part), all files of a cell in the cell's directory.
+
+    Making a directory costs as much as making a file. A file's lines are one
+    row, so the writer puts it into a file of its own without a directory for
+    it; a task gets up to ``CELL_FILES`` files of a cell, so that it makes the
+    cell's directory once, and a cell with many files is still dealt out.
+    """
+    dealt = log.withColumn("many", F.floor(F.col("part") / CELL_FILES)).repartition("cell_id", "many")
+    lines = F.collect_list(F.to_csv(F.struct(*columns)))
+    files = dealt.groupBy("cell_id", "many", "part").agg(F.concat_ws("\n", F.lit(",".join(columns)), lines).alias("text"))
+    files.select("cell_id", "text").write.partitionBy("cell_id").option("maxRecordsPerFile", 1).text(out)
+
+
 @query("src_scan_cell_directory", "cell_id:s n_rows:i n_bad:i n_files:i",
        "SELECT cell_id, count(*) AS n_rows, 0 AS n_bad, count(DISTINCT CAST(floor(cyc/8.0) AS INT)) AS n_files FROM fx_duty GROUP BY cell_id")
 def _(spark, sf_dir):
     out = folder(spark, "cells")
-    d = fixtures.duty(spark, sf_dir).select("cell_id", F.floor(F.col("cyc") / 8).alias("part"), "test_time_s", "current_a", "voltage_v")
-    d.repartition("cell_id", "part").write.partitionBy("cell_id", "part").option("header", True).csv(out)
-    _, report = scan.cell_directory(spark, out, {"test_time_s": "double", "current_a": "double", "voltage_v": "double"})
+    columns = {"test_time_s": "double", "current_a": "double", "voltage_v": "double"}
+    export_cells(fixtures.duty(spark, sf_dir).withColumn("part", F.floor(F.col("cyc") / 8)), list(columns), out)
+    _, report = scan.cell_directory(spark, out, columns)
     cell = F.regexp_extract("path", r"cell_id=([^/]+)/", 1)
     return report.groupBy(cell.alias("cell_id")).agg(
         F.sum("n_rows").alias("n_rows"), F.sum("n_bad").alias("n_bad"), F.count(F.lit(1)).alias("n_files"))

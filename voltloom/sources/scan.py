@@ -109,16 +109,18 @@ def cell_directory(spark: SparkSession, path: str, columns: Mapping[str, str]) -
     bad = F.lit(False)
     for c, t in columns.items():
         bad = bad | (F.col(c).isNotNull() & F.col(c).try_cast(t).isNull())
-    rows = raw.withColumns({
-        "_bad": bad, "cell_id": F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), "file_date": file_order(F.col("path"))})
-    report = rows.groupBy("cell_id", "path", "file_date", "mtime").agg(
-        F.count_if(~F.col("_bad")).alias("n_rows"), F.count_if("_bad").alias("n_bad"))
+    rows = raw.withColumn("_bad", bad)
+    # What the path tells is read once a file, not once a row.
+    files = rows.groupBy("path", "mtime").agg(F.count_if(~F.col("_bad")).alias("n_rows"), F.count_if("_bad").alias("n_bad"))
+    report = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("cell_id"), "path",
+                          file_order(F.col("path")).alias("file_date"), "mtime", "n_rows", "n_bad")
     w = Window.partitionBy("cell_id").orderBy(F.asc_nulls_last("file_date"), "mtime", "path")
     report = report.withColumn("file_no", F.row_number().over(w)).withColumn(
         "status", F.when(F.col("n_rows") == 0, "skipped: no readable row").when(F.col("n_bad") > 0, "partly read")
         .otherwise("read"))
     log = rows.where(~F.col("_bad")).drop("_bad").withColumns(
-        {c: F.col(c).try_cast(t) for c, t in columns.items()}).join(report.select("path", "file_no"), "path")
+        {c: F.col(c).try_cast(t) for c, t in columns.items()}).join(
+        report.select("path", "cell_id", "file_date", "file_no"), "path")
     return log, report
 
 
