@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voltloom.operators.curves import first_rows, small_median
 from voltloom.operators.phases import CELL
-from voltloom.session import staged
+from voltloom.session import join_side, staged
 
 BAND = (0.05, 0.15)
 POINTS = 21
@@ -33,8 +33,8 @@ def curve_on_grid(curves: DataFrame, reference_cycles: int = REFERENCE_CYCLES,
     """
     q, v = F.col("capacity_ah_curve"), F.col("voltage_v")
     totals = staged(curves.groupBy("cell_id", "cycle").agg(F.max(q).alias("_total")))
-    ref = (first_rows(totals, CELL, ["cycle"], reference_cycles).groupBy("cell_id")
-           .agg(F.percentile("_total", 0.5).alias("_ref")).where("_ref > 0"))
+    ref = join_side(staged(first_rows(totals, CELL, ["cycle"], reference_cycles).groupBy("cell_id")
+                           .agg(F.percentile("_total", 0.5).alias("_ref")).where("_ref > 0")))
     step = (band[1] - band[0]) / (POINTS - 1)
     share = F.col("capacity_ah_curve") / F.col("_ref")
     place = F.least(F.lit(POINTS - 1), F.greatest(F.lit(-1), F.floor((share - band[0]) / step))).cast("int")
@@ -73,10 +73,11 @@ def anchored_overpotential(curves: DataFrame, base: DataFrame | None = None, res
     span the charges. ``rest`` (cell, cycle, v_rest_v) admits only discharges
     that start near the reference's rest voltage; ``base`` (cell, cycle,
     ir_drop_v) gives the level, and a cell without one is left out. A discharge
-    that cannot be anchored keeps its row with nulls.
+    that cannot be anchored keeps its row with nulls. Both tables have a row
+    per discharge, as the grids have, and are merged with them at any size.
     """
     grids = staged(curve_on_grid(curves, reference_cycles, band))
-    first = staged(first_rows(grids.where("grid IS NOT NULL"), CELL, ["cycle"], reference_cycles))
+    first = join_side(staged(first_rows(grids.where("grid IS NOT NULL"), CELL, ["cycle"], reference_cycles)))
     lists = first.groupBy("cell_id").agg(F.collect_list("grid").alias("_lists"))  # of reference_cycles grids
     cells = lists.select("cell_id", F.transform(
         F.sequence(F.lit(0), F.lit(POINTS - 1)),
@@ -84,15 +85,16 @@ def anchored_overpotential(curves: DataFrame, base: DataFrame | None = None, res
     now = grids
     from_full, level = F.lit(True), F.lit(0.0)
     if rest is not None:
-        rests = rest.select("cell_id", "cycle", "v_rest_v")
+        rests = rest.select("cell_id", "cycle", "v_rest_v").hint("merge")
         floors = (first.select("cell_id", "cycle").join(rests, ["cell_id", "cycle"]).where("v_rest_v IS NOT NULL")
                   .groupBy("cell_id").agg((F.percentile("v_rest_v", 0.5) - REST_TOLERANCE_V).alias("_floor")))
         cells = cells.join(floors, "cell_id", "left")
         now = now.join(rests, ["cell_id", "cycle"], "left")
         from_full = F.col("_floor").isNull() | F.coalesce(F.col("v_rest_v") >= F.col("_floor"), F.lit(False))
     if base is not None:
-        levels = (first.select("cell_id", "cycle").join(base.select("cell_id", "cycle", "ir_drop_v"), ["cell_id", "cycle"])
-                  .where("ir_drop_v IS NOT NULL").groupBy("cell_id").agg(F.percentile("ir_drop_v", 0.5).alias("_level")))
+        drops = base.select("cell_id", "cycle", "ir_drop_v").hint("merge")
+        levels = (first.select("cell_id", "cycle").join(drops, ["cell_id", "cycle"]).where("ir_drop_v IS NOT NULL")
+                  .groupBy("cell_id").agg(F.percentile("ir_drop_v", 0.5).alias("_level")))
         cells, level = cells.join(levels, "cell_id"), F.col("_level")
     offset = F.when(from_full & F.col("grid").isNotNull(),
                     small_median(F.zip_with("_ref", "grid", lambda a, b: a - b)))
